@@ -247,9 +247,9 @@ FROM found WHERE kind = 7""",
   '/srv/notes/' || source || '/note_' || doc_id || '.py' AS path, 'note_' || doc_id AS name,
   'function' AS type, 'def note_' || doc_id || '(lang: str) -> str:' AS signature,
   trim(regexp_replace(text || chr(10), '[ \\t]+\\n', chr(10), 'g'), chr(10)) AS docstring,
-  length(text) + length(text) - length(replace(text, '"', ''))
+  (length(text) + length(text) - length(replace(text, '"', ''))
     + length('def note_' || doc_id || '(lang: str = "' || lang || '") -> str:')
-    + 1 + 4 + 6 + 1 + length('    return lang') AS source_chars
+    + 1 + 4 + 6 + 1 + length('    return lang'))::int AS source_chars
 FROM documents""",
     "q_validate": f"{_FOUND} SELECT path, name, reject_reason FROM found",
     "q_valid": f"""{_FOUND}
@@ -313,7 +313,7 @@ failures AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path, line_number) AS rank,
          count(*) OVER (PARTITION BY kind) AS total FROM failures)
-SELECT kind, rank, path AS file, name AS callable, error,
+SELECT kind, rank::int AS rank, path AS file, name AS callable, error,
        greatest(total - {REPORT_K}, 0) AS more
 FROM ranked WHERE rank <= {REPORT_K}""",
     "q_run_stats": f"WITH {_corpus()}, {_first_run(_FITS_150)} {_STATS}",

@@ -12,6 +12,9 @@ One writer at a time; readers see the last commit at the time they ask.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ class CatalogStore:
     def create(cls, spark: SparkSession, root: str) -> CatalogStore:
         """Set up both tables, empty."""
         store = cls(spark, root)
-        if not store._has_commits():
+        if not store._versions():
             empty = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
             store._write(empty, version=0, is_base=True, batch_id=None)
         return store
@@ -47,7 +50,7 @@ class CatalogStore:
     def metadata_keys(self) -> DataFrame:
         """``(cid, code_cid)`` of all versions. A key keeps its ``code_cid``, so a look-up
         needs no newest-version step and reads two columns only."""
-        return self._versions("metadata").select("cid", "code_cid")
+        return self._rows("metadata").select("cid", "code_cid")
 
     def catalog(self) -> DataFrame:
         """Each metadata row with its code."""
@@ -56,15 +59,16 @@ class CatalogStore:
 
     def total(self) -> DataFrame:
         """Number of code rows, without reading the code."""
-        return self._versions("codes").agg(F.count_distinct("cid").alias("total"))
+        return self._rows("codes").agg(F.count_distinct("cid").alias("total"))
 
     def require_tables(self) -> None:
         """Both tables must be there, with the columns of their schema."""
-        if not self._has_commits():
+        versions = self._versions()
+        if not versions:
             raise RuntimeError(f"No catalog at '{self.root}'")
         for name, schema in TABLES.items():
             try:
-                found = self.spark.read.parquet(*self._folders(name)).schema
+                found = self.spark.read.parquet(f"{self.root}/{name}/v={versions[-1]}").schema
             except AnalysisException as problem:
                 raise RuntimeError(
                     f"Required table '{name}' is missing from catalog '{self.root}'"
@@ -75,7 +79,8 @@ class CatalogStore:
                 raise RuntimeError(f"Table '{name}' does not have the columns {wrong}")
 
     def has_batch(self, batch_id: str) -> bool:
-        return not self._commits().where(F.col("batch_id") == batch_id).isEmpty()
+        commits = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
+        return not commits.where(F.col("batch_id") == batch_id).isEmpty()
 
     # -- writing ------------------------------------------------------------
 
@@ -85,51 +90,55 @@ class CatalogStore:
         The changes may be computed from the catalog itself: nothing already written is
         touched.
         """
-        version = self._last_version() + 1
+        version = self._versions()[-1] + 1
         changed = {"codes": codes, "metadata": metadata}
         self._write(changed, version=version, is_base=False, batch_id=batch_id)
         return version
 
     def compact(self) -> int:
         """Write the newest rows as one version; older versions are not read any more."""
-        version = self._last_version() + 1
+        version = self._versions()[-1] + 1
         whole = {"codes": self.codes(), "metadata": self.metadata()}
         self._write(whole, version=version, is_base=True, batch_id=None)
         return version
 
     def _write(self, tables: dict, *, version: int, is_base: bool, batch_id: str | None) -> None:
-        for name, df in tables.items():
+        def write(name: str) -> None:
             columns = [F.col(f.name).cast(f.dataType) for f in TABLES[name]]
             # overwrite: what a run that died left under this number goes
-            df.select(columns).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        row = self.spark.createDataFrame([(version, is_base, batch_id)], COMMITS)
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+            rows = tables[name].select(columns)
+            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+
+        # the tables do not depend on each other: two jobs side by side
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(write), tables))
+        # one row in one file, moved into place by the job's commit
+        values = zip(COMMITS.fields, (version, is_base, batch_id))
+        row = self.spark.range(0, 1, 1, 1).select(
+            *[F.lit(value).cast(f.dataType).alias(f.name) for f, value in values]
+        )
+        row.write.mode("append").parquet(f"{self.root}/commits")
 
     # -- versions -----------------------------------------------------------
 
-    def _commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
+    def _versions(self) -> list[int]:
+        """Committed versions from the last whole one on: one per run since then.
 
-    def _has_commits(self) -> bool:
+        The ledger has one short row per run, so it is small enough to look at here.
+        """
         try:
-            return not self._commits().isEmpty()
+            commits = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
         except AnalysisException:
-            return False
-
-    def _last_version(self) -> int:
-        return self._commits().agg(F.max("version")).first()[0]
-
-    def _folders(self, table: str) -> list[str]:
-        """Folders from the last whole version on: one per run since then."""
-        commits = self._commits()
-        base = commits.where("is_base").agg(F.max("version")).first()[0]
-        live = commits.where(F.col("version") >= base).select("version").distinct()
-        return [f"{self.root}/{table}/v={row.version}" for row in live.sort("version").collect()]
+            return []
+        rows = sorted((row.version, row.is_base) for row in commits.collect())
+        base = max((version for version, is_base in rows if is_base), default=0)
+        return sorted({version for version, _ in rows if version >= base})
 
-    def _versions(self, table: str) -> DataFrame:
+    def _rows(self, table: str) -> DataFrame:
+        """All live versions of a table, with the version as column ``v``."""
         schema = T.StructType([*TABLES[table].fields, T.StructField("v", T.LongType())])
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
-        return reader.parquet(*self._folders(table))
+        return reader.parquet(*[f"{self.root}/{table}/v={v}" for v in self._versions()])
 
     def _newest(self, table: str) -> DataFrame:
         """Rows of which no newer version exists.
@@ -137,7 +146,7 @@ class CatalogStore:
         Only keys and versions are shuffled to find the replaced rows. Those are few, as
         a rule, and then the wide rows stay where they are read.
         """
-        rows = self._versions(table)
+        rows = self._rows(table)
         replaced = (
             rows.groupBy("cid")
             .agg(F.max("v").alias("newest"), F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,8 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+_SPARK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "BOOLEAN": "boolean"}
+
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -34,6 +36,10 @@ def compare(spark, connection, sf_dir: str, query, sql: str) -> str | None:
     columns = [c[0] for c in result.description]
     if sorted(columns) != sorted(df.columns):
         return f"columns: {sorted(df.columns)} here, {sorted(columns)} expected"
+    types = {c[0]: _SPARK_TYPES.get(str(c[1]), str(c[1])) for c in result.description}
+    other = {n: (t, types[n]) for n, t in df.dtypes if types[n] != t}
+    if other:
+        return f"types here and expected: {other}"
     order = [columns.index(c) for c in sorted(columns)]
     expected = Counter(tuple(r[i] for i in order) for r in result.fetchall())
     if ours != expected:
@@ -53,7 +59,11 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
         master="local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8"},
+        **{
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.shuffle.partitions": "8",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection, failed = duck(sf_dir), 0
