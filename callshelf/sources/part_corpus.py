@@ -14,8 +14,8 @@ FOLDERS = ["src", "tests", "billing_api", "tools-lib"]
 BROKEN_EVERY = 17
 HEADER = '"""Parts."""\nimport shop\n\n\n'
 
-# One template per kind; {k} part key, {f} file number, {doc} name and brand, {size},
-# {type}, {rev} revision of the body.
+# One template per kind; {k} part key, {f} file number, {doc} name and brand, {size}
+# and {rev}, the revision of the body.
 TEMPLATES = [
     'def part_{k}(size: int, names: list[str] = None, *rest: str, exact: bool = False,'
     ' **extra: Any) -> str:\n'
@@ -47,11 +47,11 @@ TEMPLATES = [
 ]
 
 
-def _filled(template: str, values: dict[str, Column]) -> Column:
-    text = F.lit(template)
-    for name, value in values.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
-    return text
+_SEPARATOR = "\x1f"
+
+
+def _pick(values: list[str], number: Column) -> Column:
+    return F.get(F.split(F.lit(_SEPARATOR.join(values)), _SEPARATOR), number.cast("int"))
 
 
 def part_corpus(spark: SparkSession, sf_dir: str, revision: int = 1) -> DataFrame:
@@ -65,11 +65,10 @@ def part_corpus(spark: SparkSession, sf_dir: str, revision: int = 1) -> DataFram
         "size": F.col("p_size"),
         "rev": F.lit(revision),
     }
-    text = F.lit(None).cast("string")
-    for number, template in enumerate(TEMPLATES):
-        text = F.when(kind == number, _filled(template, values)).otherwise(text)
-    folders = F.array(*[F.lit(f) for f in FOLDERS])
-    folder = F.get(folders, F.pmod(F.col("file"), F.lit(len(FOLDERS))).cast("int"))
+    text = _pick(TEMPLATES, kind)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    folder = _pick(FOLDERS, F.pmod(F.col("file"), F.lit(len(FOLDERS))))
     broken = F.when(
         F.pmod(F.col("file"), F.lit(BROKEN_EVERY)) == 0,
         F.concat(F.lit("\n\n\ndef broken_"), F.col("file").cast("string"), F.lit("(:\n")),
