@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 STR, INT, BIGINT, BOOL = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
-STRINGS = T.ArrayType(STR, containsNull=False)
+STRINGS = T.ArrayType(STR)
 
 SOURCES = T.StructType(
     [
