@@ -76,14 +76,14 @@ def check_constraints(entries: DataFrame, **limits: int) -> DataFrame:
 def annotate(extracted: DataFrame, **limits: int) -> DataFrame:
     """Everything a run needs to know of each extracted row, in one narrow pass.
 
-    Keeps file errors (``parse_error``) and rejected callables (``reject_reason``) for
+    Keeps file rows (``parse_error``) and rejected callables (``reject_reason``) for
     counting, without their texts. Valid callables get ``file_path``, ``code_cid``,
     ``cid`` and, if they do not fit the tables, ``error``.
     """
     named = with_reject_reason(extracted.withColumnRenamed("error", "parse_error"))
-    parsed = F.col("parse_error").isNull()
-    judged = named.withColumn("reject_reason", F.when(parsed, F.col("reject_reason")))
-    valid = parsed & F.col("reject_reason").isNull()
+    is_callable = F.col("name").isNotNull()
+    judged = named.withColumn("reject_reason", F.when(is_callable, F.col("reject_reason")))
+    valid = is_callable & F.col("reject_reason").isNull()
     kept = judged.select(
         "path",
         "line_number",
@@ -102,7 +102,7 @@ def annotate(extracted: DataFrame, **limits: int) -> DataFrame:
 
 
 def found_callables(annotated: DataFrame) -> DataFrame:
-    return annotated.where(F.col("parse_error").isNull())
+    return annotated.where(F.col("name").isNotNull())
 
 
 def file_errors(annotated: DataFrame) -> DataFrame:

@@ -32,15 +32,15 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(name) for name in ("path", "content", "read_error"))
         for path, content, read_error in zip(*columns):
             path = path.as_py()
-            if read_error.is_valid:
-                rows.append({"path": path, "error": read_error.as_py()})
-                continue
-            try:
-                found = [{"path": path, **row} for row in definitions(content.as_py() or "")]
-                for row in found:
-                    _require_utf8(row)
-            except _UNPARSABLE as problem:
-                found = [{"path": path, "error": f"Syntax error in {path}: {problem}"}]
+            found, error = [], read_error.as_py()
+            if error is None:
+                try:
+                    found = [{"path": path, **row} for row in definitions(content.as_py() or "")]
+                    for row in found:
+                        _require_utf8(row)
+                except _UNPARSABLE as problem:
+                    found, error = [], f"Syntax error in {path}: {problem}"
+            rows.append({"path": path, "error": error})
             rows.extend(found)
             if len(rows) >= _ROWS_PER_BATCH:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -65,7 +65,7 @@ def extract_definitions(sources: DataFrame) -> DataFrame:
 
 
 def extract_callables(sources: DataFrame) -> DataFrame:
-    """Callable rows plus one row per unreadable file (``error`` set, the rest null)."""
+    """Callable rows plus one row per file (only ``path``, and ``error`` if it failed)."""
     keyword, parts = F.col("keyword"), F.col("parts")
     kind = (
         F.when(keyword == "class", "class")
@@ -93,7 +93,7 @@ def extract_callables(sources: DataFrame) -> DataFrame:
 
 
 def callables_only(extracted: DataFrame) -> DataFrame:
-    return extracted.where(F.col("error").isNull()).drop("error")
+    return extracted.where(F.col("name").isNotNull()).drop("error")
 
 
 def parse_errors(extracted: DataFrame) -> DataFrame:

@@ -49,13 +49,6 @@ def known_entries(keys: DataFrame, metadata: DataFrame, key: str = "cid") -> Dat
     )
 
 
-def split_known(entries: DataFrame, metadata: DataFrame, key: str = "cid") -> tuple:
-    """``(known, new)``: entries with and without a catalog row."""
-    keys = metadata.select(F.col("cid").alias("_known"))
-    matches = usable_key(key) == F.col("_known")
-    return entries.join(keys, matches, "left_semi"), entries.join(keys, matches, "left_anti")
-
-
 def lookup(
     rows: DataFrame,
     facts: DataFrame,
@@ -90,6 +83,35 @@ def lookup(
     )
 
 
+def mark_known(
+    entries: DataFrame,
+    metadata: DataFrame,
+    key: str = "cid",
+    *,
+    spread: Sequence[str] | None = None,
+    **hot: int,
+) -> DataFrame:
+    """Adds ``known``: does the catalog have the entry's key?"""
+    sizes = (
+        entries.where(usable_key(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+    facts = sizes.join(known_entries(sizes, metadata, key), key).select(
+        key, F.struct("n_rows", "known_code_cid").alias("fact")
+    )
+    marked = lookup(entries, facts, key, spread or entries.columns, **hot)
+    return marked.withColumn("known", F.col("fact").isNotNull()).drop("fact")
+
+
+def split_known(
+    entries: DataFrame, metadata: DataFrame, key: str = "cid", **options
+) -> tuple[DataFrame, DataFrame]:
+    """``(known, new)``: entries with and without a catalog row."""
+    marked = mark_known(entries, metadata, key, **options)
+    return marked.where("known").drop("known"), marked.where("NOT known").drop("known")
+
+
 def resolve_outcomes(
     entries: DataFrame,
     metadata: DataFrame | None = None,

@@ -9,40 +9,34 @@ from pyspark.sql import functions as F
 
 from callshelf.functions.identity import short_id
 from callshelf.functions.verdict import NO_DOCSTRING, NOT_STANDALONE
-from callshelf.operators.outcomes import DUPLICATE, ERROR, ORDER, UPLOADED, usable_key
+from callshelf.operators.outcomes import DUPLICATE, ERROR, ORDER, UPLOADED, mark_known
 
 
-def run_stats(
-    files: DataFrame,
-    judged: DataFrame,
-    parse_errors: DataFrame,
-    outcomes: DataFrame | None = None,
-) -> DataFrame:
+def run_stats(annotated: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """One row of counters. Without ``outcomes`` (dry run) nothing is uploaded or skipped
-    as a duplicate. Each input is counted once, side by side, and the counts are summed."""
-    judged_reason = F.col("reject_reason")
-    counters = {
-        "files_scanned": (files, F.count(F.lit(1))),
-        "callables_found": (judged, F.count(F.lit(1))),
-        "skipped_not_standalone": (judged, F.count_if(judged_reason == NOT_STANDALONE)),
-        "skipped_no_docstring": (judged, F.count_if(judged_reason == NO_DOCSTRING)),
-        "skipped_duplicates": (outcomes, F.count_if(F.col("outcome") == DUPLICATE)),
-        "new_uploads": (outcomes, F.count_if(F.col("outcome") == UPLOADED)),
-        "upload_errors": (outcomes, F.count_if(F.col("outcome") == ERROR)),
-        "parse_errors": (parse_errors, F.count(F.lit(1))),
+    as a duplicate. Each table is counted in one pass over narrow columns."""
+    is_callable = F.col("name").isNotNull()
+    in_table = {
+        "files_scanned": ~is_callable,
+        "callables_found": is_callable,
+        "skipped_not_standalone": F.col("reject_reason") == NOT_STANDALONE,
+        "skipped_no_docstring": F.col("reject_reason") == NO_DOCSTRING,
+        "parse_errors": F.col("parse_error").isNotNull(),
     }
-    parts = []
-    for source in (files, judged, outcomes, parse_errors):
-        if source is not None:
-            own = [agg.alias(name) for name, (df, agg) in counters.items() if df is source]
-            parts.append(source.agg(*own))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    for name in counters:
-        if name not in whole.columns:
-            whole = whole.withColumn(name, F.lit(0))
-    total = whole.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counters])
+    in_outcomes = {
+        "skipped_duplicates": F.col("outcome") == DUPLICATE,
+        "new_uploads": F.col("outcome") == UPLOADED,
+        "upload_errors": F.col("outcome") == ERROR,
+    }
+    counted = annotated.agg(*[F.count_if(test).alias(n) for n, test in in_table.items()])
+    if outcomes is None:
+        counted = counted.withColumns({n: F.lit(0) for n in in_outcomes})
+    else:
+        own = outcomes.agg(*[F.count_if(test).alias(n) for n, test in in_outcomes.items()])
+        counted = counted.unionByName(own, allowMissingColumns=True)
+    # one or two rows from here on
+    counters = [*in_table, *in_outcomes]
+    total = counted.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counters])
     return total.select(
         *[name for name in counters if not name.endswith("_errors")],
         (
@@ -109,11 +103,5 @@ def preview(entries: DataFrame, metadata: DataFrame, key: str = "cid") -> DataFr
 
     ``known`` says whether the catalog has the entry's key.
     """
-    keys = metadata.select(F.col("cid").alias("_known")).distinct()
-    return entries.join(keys, usable_key(key) == F.col("_known"), "left").select(
-        "path",
-        "line_number",
-        "name",
-        short_id(F.col("code_cid")).alias("short_cid"),
-        F.col("_known").isNotNull().alias("known"),
-    )
+    wanted = entries.select(*ORDER, "name", key, short_id(F.col("code_cid")).alias("short_cid"))
+    return mark_known(wanted, metadata, key, spread=ORDER).drop(key)

@@ -15,12 +15,11 @@ from callshelf.operators.entries import (
     annotate,
     catalog_entries,
     file_errors,
-    found_callables,
 )
 from callshelf.operators.extract import extract_callables
 from callshelf.operators.outcomes import resolve_outcomes
 from callshelf.operators.upsert import codes_changes, metadata_changes
-from callshelf.session import stage
+from callshelf.session import release, scratch, stage_at
 from callshelf.sources.store import CatalogStore
 
 
@@ -36,6 +35,12 @@ class IngestRun:
     outcomes: DataFrame | None
     preview: DataFrame | None
     version: int | None
+    staged: tuple[str, ...] = ()
+
+    def release(self) -> None:
+        """Give back the space of the staged tables. The frames cannot be read after."""
+        for folder in self.staged:
+            release(self.stats.sparkSession, folder)
 
 
 def ingest(
@@ -58,12 +63,13 @@ def ingest(
     """
     store.require_tables()
     as_of = as_of or datetime.now(timezone.utc)
-    staged = stage(annotate(extract(sources), **(limits or {})), "annotated")
-    found, entries, failed = found_callables(staged), catalog_entries(staged), file_errors(staged)
+    folders = [scratch(store.spark, "annotated"), scratch(store.spark, "outcomes")]
+    staged = stage_at(annotate(extract(sources), **(limits or {})), folders[0])
+    entries, failed = catalog_entries(staged), file_errors(staged)
 
     if dry_run:
         nothing = entries.withColumn("outcome", F.lit(None).cast("string")).limit(0)
-        stats = report.run_stats(sources, found, failed)
+        stats = report.run_stats(staged)
         return IngestRun(
             stats=stats,
             status=report.run_status(stats),
@@ -73,20 +79,21 @@ def ingest(
             outcomes=None,
             preview=report.preview(entries, store.metadata_keys()),
             version=None,
+            staged=(folders[0],),
         )
 
     narrow = entries.select(
         "cid", "code_cid", "path", "line_number", "name", "type", "file_path", "error"
     )
-    outcomes = stage(
-        resolve_outcomes(narrow, store.metadata_keys(), bypass=bypass), "outcomes"
+    outcomes = stage_at(
+        resolve_outcomes(narrow, store.metadata_keys(), bypass=bypass), folders[1]
     )
     version = store.commit(
         codes_changes(outcomes, entries, as_of),
         metadata_changes(outcomes, base, **(tag_options or {})),
         batch_id=batch_id,
     )
-    stats = report.run_stats(sources, found, failed, outcomes)
+    stats = report.run_stats(staged, outcomes)
     failures = report.upload_errors(outcomes)
     return IngestRun(
         stats=stats,
@@ -97,4 +104,5 @@ def ingest(
         outcomes=outcomes,
         preview=None,
         version=version,
+        staged=tuple(folders),
     )

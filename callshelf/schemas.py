@@ -15,8 +15,8 @@ SOURCES = T.StructType(
     ]
 )
 
-# What the syntax-tree worker hands back: one row per top-level definition, or one
-# row with only ``path`` and ``error`` for a file that does not parse.
+# What the syntax-tree worker hands back: one row per file (``path``, ``error`` if it does
+# not parse, the rest null) and one row per top-level definition.
 DEFINITIONS = T.StructType(
     [
         T.StructField("path", STR, False),

@@ -47,6 +47,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back. Cuts lineage, survives lost executors, prunes columns."""
-    folder = scratch(df.sparkSession, name)
+    return stage_at(df, scratch(df.sparkSession, name))
+
+
+def stage_at(df: DataFrame, folder: str) -> DataFrame:
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession, folder: str) -> None:
+    """Give back the space of a staged table: nothing is written over it."""
+    spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(folder)

@@ -102,7 +102,7 @@ def scan_sources(
     out = scratch(spark, "listing")
     full = F.concat(F.rtrim("folder", F.lit("/")), F.lit("/"), "name")
 
-    listing, depth = None, 0
+    depth = 0
     while True:
         listed = frontier.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
             _lister(recursive), _LISTING
@@ -120,12 +120,13 @@ def scan_sources(
             .select("root", path.alias("path"), "is_folder")
         )
         kept.write.parquet(f"{out}/depth={depth}")
-        listing = spark.read.schema(kept.schema).parquet(out)
         level = spark.read.schema(kept.schema).parquet(f"{out}/depth={depth}")
         frontier = level.where("is_folder").select("root", F.col("path").alias("folder"))
         depth += 1
         if not recursive or frontier.isEmpty():
-            return listing.where(~F.col("is_folder")).select("path").distinct()
+            break
+    listing = spark.read.schema(kept.schema).parquet(out)
+    return listing.where(~F.col("is_folder")).select("path").distinct()
 
 
 def exclude_paths(

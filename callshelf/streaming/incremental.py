@@ -39,7 +39,7 @@ def start_ingest(
     def run(batch: DataFrame, batch_number: int) -> None:
         batch_id = f"{checkpoint}#{batch_number}"
         if not store.has_batch(batch_id):
-            ingest(batch, store, batch_id=batch_id, **options)
+            ingest(batch, store, batch_id=batch_id, **options).release()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
