@@ -28,9 +28,9 @@ HOT_KEYS = 5_000
 HOT_ROWS = 100_000
 
 
-def usable_key(key: str) -> Column:
+def has_key(key: str) -> Column:
     """A blank key is like no key: never known, never shared."""
-    return F.when(F.trim(F.col(key)) != "", F.col(key))
+    return F.col(key).isNotNull() & (F.trim(F.col(key)) != "")
 
 
 def known_entries(keys: DataFrame, metadata: DataFrame, key: str = "cid") -> DataFrame:
@@ -39,7 +39,7 @@ def known_entries(keys: DataFrame, metadata: DataFrame, key: str = "cid") -> Dat
     The catalog is the left side of the semi join: with few new keys Spark broadcasts
     them and the catalog is filtered where it is read.
     """
-    wanted = keys.select(usable_key(key).alias(key)).where(F.col(key).isNotNull())
+    wanted = keys.where(has_key(key)).select(key)
     return (
         metadata.select("cid", "code_cid")
         .withColumnRenamed("cid", key)
@@ -73,7 +73,7 @@ def lookup(
     # A row served by the broadcast gets a shuffle key of its own that matches nothing.
     shuffle_key = F.when(
         F.col("_hot_fact").isNotNull(), F.concat(F.lit("\0"), F.xxhash64(*spread).cast("string"))
-    ).otherwise(usable_key(key))
+    ).when(has_key(key), F.col(key))
     return (
         rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_shuffle_key", shuffle_key)
@@ -93,7 +93,7 @@ def mark_known(
 ) -> DataFrame:
     """Adds ``known``: does the catalog have the entry's key?"""
     sizes = (
-        entries.where(usable_key(key).isNotNull())
+        entries.where(has_key(key))
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
@@ -131,7 +131,7 @@ def resolve_outcomes(
     fits = F.col("error").isNull()
     position = F.struct(*order)
     facts = (
-        entries.where(usable_key(key).isNotNull())
+        entries.where(has_key(key))
         .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
