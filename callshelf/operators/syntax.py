@@ -7,6 +7,7 @@ definition; types, signatures, verdicts and identifiers are Spark expressions on
 from __future__ import annotations
 
 import ast
+from bisect import bisect_left
 from collections.abc import Iterator
 from textwrap import dedent
 from typing import Any
@@ -52,12 +53,22 @@ def _parameters(args: ast.arguments) -> list[str]:
     ]
 
 
+def _yields(node: ast.AST, lines_with_yield: list[int]) -> bool:
+    """Is there a ``yield`` anywhere below? Trees are walked only where the word occurs."""
+    at = bisect_left(lines_with_yield, node.lineno)
+    if at == len(lines_with_yield) or lines_with_yield[at] > node.end_lineno:
+        return False
+    return any(isinstance(n, (ast.Yield, ast.YieldFrom)) for n in ast.walk(node))
+
+
 def definitions(source: str) -> Iterator[dict[str, Any]]:
     """Functions and classes directly in the module body. Raises if it does not parse."""
     if not source.strip():
         return
     lines = source.splitlines()
-    may_yield = "yield" in source
+    lines_with_yield = [
+        number for number, line in enumerate(source.split("\n"), 1) if "yield" in line
+    ]
     for node in ast.parse(source).body:
         keyword = _KEYWORDS.get(type(node))
         if keyword is None:
@@ -76,9 +87,7 @@ def definitions(source: str) -> Iterator[dict[str, Any]]:
             if is_class
             else _parameters(node.args),
             "returns": expression_text(returns) if returns else None,
-            "has_yield": any(isinstance(n, (ast.Yield, ast.YieldFrom)) for n in ast.walk(node))
-            if may_yield and keyword == "def"
-            else False,
+            "has_yield": keyword == "def" and _yields(node, lines_with_yield),
             "docstring": None if docstring is None else dedent(docstring).strip("\n"),
             "source_code": text,
             "decorators": [expression_text(d) for d in node.decorator_list],
