@@ -229,8 +229,7 @@ ORACLES: dict[str, str] = {
 split AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM paths WHERE path LIKE '%_.py')
 SELECT path FROM split
 WHERE NOT s[1] LIKE '%.example.org'
-  AND NOT (len(s) > 2 AND s[2] = 'fr')
-  AND NOT (s[-1] LIKE '%7.py' AND NOT s[-1] LIKE '%77.py')
+  AND NOT ((s[-1] LIKE '%7.py' OR len(s) > 2 AND s[2] = 'fr') AND NOT s[-1] LIKE '%77.py')
   AND NOT (s[1] LIKE 'm.%' AND len(s) > 2 AND s[2] = 'de')""",
     "q_extract_callables": f"""{_FOUND}
 SELECT path, line_number, name, type, kind = 2 AS is_async, source_code FROM found""",

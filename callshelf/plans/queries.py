@@ -26,7 +26,7 @@ from callshelf.operators.entries import (
 from callshelf.operators.extract import callables_only, extract_callables, parse_errors
 from callshelf.operators.tags import tag_counts, without_words
 from callshelf.plans.ingest import ingest
-from callshelf.session import scratch, stage
+from callshelf.session import scratch, spread, stage
 from callshelf.sources.part_corpus import BASE, FOLDERS, part_corpus
 from callshelf.sources.store import CatalogStore
 from callshelf.sources.tree import exclude_paths
@@ -75,7 +75,7 @@ def document_entries(spark: SparkSession, sf_dir: str, key: str, text_max_bytes:
 def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per document, the whole text as docstring of its function."""
     text = F.replace(F.col("text"), F.lit('"'), F.lit('\\"'))
-    return _table(spark, sf_dir, "documents").select(
+    return spread(_table(spark, sf_dir, "documents")).select(
         F.concat(
             F.lit("/srv/notes/"), "source", F.lit("/note_"), "doc_id", F.lit(".py")
         ).alias("path"),
@@ -83,7 +83,7 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("def note_"), "doc_id", F.lit('(lang: str = "'), "lang",
             F.lit('") -> str:\n    """'), text, F.lit('"""\n    return lang\n'),
         ).alias("content"),
-    ).repartition(spark.sparkContext.defaultParallelism)
+    )
 
 
 def _part_store(spark: SparkSession, sf_dir: str) -> CatalogStore:
@@ -243,9 +243,8 @@ def _labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(
-        "doc_id", identity.cid(F.col("text")).alias("cid")
-    )
+    """Ids of all documents, hashed once."""
+    return stage(q_content_cid(spark, sf_dir), "incoming")
 
 
 def q_exists_known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +331,7 @@ def q_upload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First errors of both kinds: broken files of the corpus, oversized documents."""
-    failed = parse_errors(extract_callables(part_corpus(spark, sf_dir)))
+    failed = stage(q_parse_errors(spark, sf_dir), "failed")
     return report.error_report(failed, q_upload_errors(spark, sf_dir), k=REPORT_K)
 
 

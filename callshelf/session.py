@@ -40,6 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get(_CHECKPOINT_DIR)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy and are not larger than other shuffles' tasks."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, shuffle)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a plain scan that has fewer splits than there are cores.
+
+    A large table has enough splits and stays where it is: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder of its own below the shared folder."""
     return f"{shared_folder(spark)}/callshelf/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callshelf.session import parallelism
+
 BASE = "/srv/shop"
 FOLDERS = ["src", "tests", "billing_api", "tools-lib"]
 BROKEN_EVERY = 17
@@ -77,8 +79,8 @@ def part_corpus(spark: SparkSession, sf_dir: str, revision: int = 1) -> DataFram
     return (
         parts.select(key, file.alias("file"), "p_name", "p_brand", "p_size")
         .select("p_partkey", "file", text.alias("text"))
-        # tasks by cores, not by bytes: parsing costs more than moving
-        .repartition(spark.sparkContext.defaultParallelism, "file")
+        # the number is given, so that small inputs are not merged into one parsing task
+        .repartition(parallelism(spark), "file")
         .groupBy("file")
         .agg(F.array_sort(F.collect_list(F.struct("p_partkey", "text"))).alias("members"))
         .select(

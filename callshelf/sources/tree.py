@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from callshelf.functions.patterns import ExcludeRules
 from callshelf.functions.paths import relative_path
-from callshelf.session import scratch
+from callshelf.session import parallelism, scratch
 
 _LISTING = "root string, folder string, name string, is_folder boolean, target string"
 _LISTING_ARROW = pa.schema(
@@ -104,7 +104,7 @@ def scan_sources(
 
     depth = 0
     while True:
-        listed = frontier.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
+        listed = frontier.repartition(parallelism(spark)).mapInArrow(
             _lister(recursive), _LISTING
         )
         path = F.coalesce("target", full)

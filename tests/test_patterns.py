@@ -75,6 +75,14 @@ def test_an_exception_covers_what_lies_below(paths):
     assert ours == {p for p in PATHS if not p.split("/")[0].endswith(".py")}
 
 
+def test_a_folder_pattern_does_not_hit_the_folder_itself(spark):
+    """``fr/`` covers what is in the folder, so the folder is entered and an exception can
+    bring a file back; ``fr`` covers the folder too."""
+    df = spark.createDataFrame([("a/fr/377.py",), ("a/fr/1.py",)], "path string")
+    assert [r.path for r in exclude_paths(df, ["fr/", "!*77.py"]).collect()] == ["a/fr/377.py"]
+    assert exclude_paths(df, ["fr", "!*77.py"]).count() == 0
+
+
 def test_white_space_around_a_pattern_is_dropped():
     assert pattern_rule("  build ") == pattern_rule("build")
 
