@@ -53,27 +53,29 @@ def codes_changes(
 
 
 def metadata_changes(
-    outcomes: DataFrame, base: Column | str = "/", order: Sequence[str] = ORDER, **tag_options
+    outcomes: DataFrame,
+    base: Column | str = "/",
+    order: Sequence[str] = ORDER,
+    *,
+    one_per_key: bool = False,
+    **tag_options,
 ) -> DataFrame:
     """Rows to insert or update in ``metadata``: the last entry of each interface id.
 
-    ``code_cid`` is the immutable id, so an update leaves it as it was.
+    ``code_cid`` is the immutable id, so an update leaves it as it was. With
+    ``one_per_key`` (a run without bypass uploads one entry per interface) no shuffle.
     """
-    fields = ["immutable_cid", "name", "type", "file_path", "path"]
-    last = F.max_by(F.struct(*fields), F.struct(*order)).alias("last")
-    return (
-        _uploaded(outcomes)
-        .groupBy("cid")
-        .agg(last)
-        .select("cid", "last.*")
-        .select(
-            "cid",
-            F.col("immutable_cid").alias("code_cid"),
-            F.col("name").alias("code_name"),
-            F.col("type").alias("code_type"),
-            is_test(F.col("name"), F.col("path")).alias("is_test"),
-            "file_path",
-            path_tags(F.col("path"), base, **tag_options).alias("tags"),
-        )
-        .select(*METADATA.fieldNames())
-    )
+    entries = _uploaded(outcomes)
+    if not one_per_key:
+        fields = F.struct("immutable_cid", "name", "type", "file_path", "path")
+        last = F.max_by(fields, F.struct(*order)).alias("last")
+        entries = entries.groupBy("cid").agg(last).select("cid", "last.*")
+    return entries.select(
+        "cid",
+        F.col("immutable_cid").alias("code_cid"),
+        F.col("name").alias("code_name"),
+        F.col("type").alias("code_type"),
+        is_test(F.col("name"), F.col("path")).alias("is_test"),
+        "file_path",
+        path_tags(F.col("path"), base, **tag_options).alias("tags"),
+    ).select(*METADATA.fieldNames())

@@ -90,7 +90,7 @@ def ingest(
     )
     version = store.commit(
         codes_changes(outcomes, entries, as_of),
-        metadata_changes(outcomes, base, **(tag_options or {})),
+        metadata_changes(outcomes, base, one_per_key=not bypass, **(tag_options or {})),
         batch_id=batch_id,
     )
     stats = report.run_stats(staged, outcomes)

@@ -349,7 +349,7 @@ def q_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status with some uploads, with none, and of a dry run."""
+    """Status of runs with errors: beside some uploads, and without any."""
     some = _first_run(spark, sf_dir, 150).status.withColumn("run", F.lit("some"))
     none = _first_run(spark, sf_dir, 1).status.withColumn("run", F.lit("none"))
     return some.unionByName(none)

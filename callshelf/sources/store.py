@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callshelf.functions.paths import tags_json
 from callshelf.schemas import CODES, COMMITS, METADATA
 
 TABLES = {"codes": CODES, "metadata": METADATA}
@@ -50,7 +51,11 @@ class CatalogStore:
     def metadata_keys(self) -> DataFrame:
         """``(cid, code_cid)`` of all versions. A key keeps its ``code_cid``, so a look-up
         needs no newest-version step and reads two columns only."""
-        return self._rows("metadata").select("cid", "code_cid")
+        return self._rows("metadata", self._versions()).select("cid", "code_cid")
+
+    def metadata_export(self) -> DataFrame:
+        """Metadata with the tags as JSON text."""
+        return self.metadata().withColumn("tags", tags_json(F.col("tags")))
 
     def catalog(self) -> DataFrame:
         """Each metadata row with its code."""
@@ -59,7 +64,8 @@ class CatalogStore:
 
     def total(self) -> DataFrame:
         """Number of code rows, without reading the code."""
-        return self._rows("codes").agg(F.count_distinct("cid").alias("total"))
+        rows = self._rows("codes", self._versions())
+        return rows.agg(F.count_distinct("cid").alias("total"))
 
     def require_tables(self) -> None:
         """Both tables must be there, with the columns of their schema."""
@@ -134,19 +140,23 @@ class CatalogStore:
         base = max((version for version, is_base in rows if is_base), default=0)
         return sorted({version for version, _ in rows if version >= base})
 
-    def _rows(self, table: str) -> DataFrame:
-        """All live versions of a table, with the version as column ``v``."""
+    def _rows(self, table: str, versions: list[int]) -> DataFrame:
+        """All rows of the versions of a table, with the version as column ``v``."""
         schema = T.StructType([*TABLES[table].fields, T.StructField("v", T.LongType())])
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
-        return reader.parquet(*[f"{self.root}/{table}/v={v}" for v in self._versions()])
+        return reader.parquet(*[f"{self.root}/{table}/v={v}" for v in versions])
 
     def _newest(self, table: str) -> DataFrame:
         """Rows of which no newer version exists.
 
         Only keys and versions are shuffled to find the replaced rows. Those are few, as
-        a rule, and then the wide rows stay where they are read.
+        a rule, and then the wide rows stay where they are read. A single version, as
+        ``compact`` leaves it, is read as it is.
         """
-        rows = self._rows(table)
+        versions = self._versions()
+        rows = self._rows(table, versions)
+        if len(versions) == 1:
+            return rows.drop("v")
         replaced = (
             rows.groupBy("cid")
             .agg(F.max("v").alias("newest"), F.count(F.lit(1)).alias("n"))

@@ -46,6 +46,8 @@ def test_newest_version_counts(spark, store):
     assert {(r.cid, r.version_cid) for r in store.catalog().collect()} == {("m", "a2"), ("n", "b")}
 
     before = {tuple(r) for r in store.codes().select("cid", "version_cid").collect()}
+    exported = {r.cid: r.tags for r in store.metadata_export().collect()}
+    assert exported == {"m": '["t"]', "n": '["t"]'}
     store.compact()
     assert store._versions() == [4]
     assert {tuple(r) for r in store.codes().select("cid", "version_cid").collect()} == before
