@@ -52,21 +52,17 @@ def path_tags(
     Words that do not start with a letter are dropped; with a word list,
     ``callshelf.operators.tags.without_words`` drops further ones.
     """
-    generic = _strings([*GENERIC_PARTS, *drop])
-
-    def speaks(part: Column) -> Column:
-        keep = ~F.array_contains(generic, F.lower(part)) & ~part.rlike(r"^(?:$|[.~\\])")
-        return keep & (part != home_name) if home_name else keep
-
-    parts = F.filter(F.split(relative_path(path, base), "/"), speaks)
-    words = F.flatten(
-        F.transform(
-            parts, lambda p: F.split(F.regexp_replace(F.lower(p), r"\.py\z", ""), "[-_]")
-        )
-    )
-    spoken = F.filter(words, lambda w: w.rlike(r"^\p{L}"))
+    # Whole-string steps: lambdas over parts would leave generated code.
+    relative = relative_path(path, base)
+    if home_name:
+        parts = F.array_except(F.split(relative, "/"), _strings([home_name]))
+        relative = F.array_join(parts, "/")
+    visible = F.regexp_replace(F.lower(relative), r"(?<![^/])[.~\\][^/]*", "")
+    telling = F.array_except(F.split(visible, "/"), _strings([*GENERIC_PARTS, *drop]))
+    stems = F.regexp_replace(F.array_join(telling, "/"), r"\.py(?![^/])", "")
+    words = F.regexp_extract_all(stems, F.lit(r"(?<![^-_/])\p{L}[^-_/]*"), F.lit(0))
     # array_except returns distinct values
-    return F.array_sort(F.array_except(spoken, _strings(stop_words)))
+    return F.sort_array(F.array_except(words, _strings(stop_words)))
 
 
 def tags_json(tags: Column) -> Column:
