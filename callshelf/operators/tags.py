@@ -18,9 +18,8 @@ def without_words(tagged: DataFrame, words: DataFrame, key: str = "path") -> Dat
     chooses the join by the size of the list.
     """
     salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
-    listed = words.select(
-        F.lower("word").alias("word"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    listed = words.select(F.lower("word").alias("word"), F.explode(salts).alias("salt"))
     kept = (
         tagged.select(key, salt, F.explode("tags").alias("word"))
         .join(listed, ["word", "salt"], "left_anti")

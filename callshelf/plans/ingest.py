@@ -11,11 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callshelf.operators import report
-from callshelf.operators.entries import (
-    annotate,
-    catalog_entries,
-    file_errors,
-)
+from callshelf.operators.entries import annotate, catalog_entries, file_errors
 from callshelf.operators.extract import extract_callables
 from callshelf.operators.outcomes import resolve_outcomes
 from callshelf.operators.upsert import codes_changes, metadata_changes

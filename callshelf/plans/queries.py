@@ -16,8 +16,6 @@ from callshelf.operators.entries import (
     annotate,
     catalog_entries,
     check_constraints,
-    file_errors,
-    found_callables,
     valid_callables,
     with_code_cid,
     with_path_facts,

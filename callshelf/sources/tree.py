@@ -68,8 +68,8 @@ def _lister(links_one_step: bool):
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * len(_LISTING_ARROW)
             rows.clear()
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _LISTING_ARROW)],
-                                   schema=_LISTING_ARROW)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, _LISTING_ARROW)]
+            return pa.record_batch(arrays, schema=_LISTING_ARROW)
 
         for batch in batches:
             for root, folder in zip(*(batch.column(n).to_pylist() for n in ("root", "folder"))):
@@ -166,8 +166,8 @@ def read_sources(paths: DataFrame, *, files_per_task: int = 1_000) -> DataFrame:
 
     Paths are few bytes and contents are many, so tasks are sized by number of files.
     """
-    tasks = max(paths.sparkSession.sparkContext.defaultParallelism,
-                ceil(paths.count() / files_per_task))
+    cores = paths.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, ceil(paths.count() / files_per_task))
     read = paths.select("path").repartition(tasks).mapInArrow(
         _read_files, "path string, data binary, problem string"
     )

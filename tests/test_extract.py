@@ -187,7 +187,9 @@ def test_docstrings(extract):
 
 def test_line_ends_and_odd_separators(extract):
     windows, mac, feed = extract(
-        "def a():\r\n    '''One\r\n    two'''\r\n", "x = 1\rdef b(): pass\r", "def c():\n    x = '\x0c'\n    return 1\n"
+        "def a():\r\n    '''One\r\n    two'''\r\n",
+        "x = 1\rdef b(): pass\r",
+        "def c():\n    x = '\x0c'\n    return 1\n",
     )
     assert windows[0].source_code == "def a():\n    '''One\n    two'''"
     assert windows[0].docstring == "One\n    two"
