@@ -31,10 +31,10 @@ def test_cid_is_that_of_hashlib(spark):
 
 def test_signature_shape(spark):
     cases = {
-        "def calculate(x: int) -> int:": "(x: int) -> int:",
-        "class SomeClass:": "",
-        "class DataProcessor(BaseClass):": "(BaseClass):",
-        "async def fetch(url: str) -> Dict[str, Any]:": "(url: str) -> Dict[str, Any]:",
+        "def area(w: float, h: float) -> float:": "(w: float, h: float) -> float:",
+        "class Empty:": "",
+        "class Child(Parent, Mixin):": "(Parent, Mixin):",
+        "async def load(key: bytes) -> list[Any]:": "(key: bytes) -> list[Any]:",
         "def no_parenthesis": "def no_parenthesis",
         "class Nothing": "class Nothing",
         "class A: (x)": "",
@@ -43,7 +43,8 @@ def test_signature_shape(spark):
         "": "",
     }
     df = spark.createDataFrame([(c,) for c in cases], "s string")
-    got = {r.s: r.shape for r in df.select("s", identity.signature_shape(F.col("s")).alias("shape")).collect()}
+    shapes = df.select("s", identity.signature_shape(F.col("s")).alias("shape"))
+    got = {r.s: r.shape for r in shapes.collect()}
     assert got == cases
 
 

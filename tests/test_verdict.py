@@ -13,8 +13,8 @@ def case(verdict, name, *, kind="function", doc=DOC, code=None, signature=None,
 
 
 CASES = [
-    case(None, "calculate_sum"),
-    case(None, "DataProcessor", kind="class"),
+    case(None, "add_up"),
+    case(None, "Worker", kind="class"),
     case(None, "Child", kind="class", signature="class Child(Base):"),
     case("no_docstring", "f", doc=None),
     case("no_docstring", "f", doc=""),
