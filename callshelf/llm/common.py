@@ -63,7 +63,7 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     """The schema of ``df`` with further fields."""
     schema = T.StructType(list(df.schema.fields))
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
     return schema
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callshelf.llm.common import table
+from callshelf.llm.quality import quality_report
 from callshelf.llm.sharding import shard_documents
+from callshelf.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +18,45 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality_report(table(spark, sf_dir, "documents"))
+    return report.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages).drop("url")
+
+
 QUERIES: dict[str, Query] = {
     name: query for name, query in list(globals().items()) if name.startswith("op")
 }
 
-ORACLES: dict[str, str] = {}
+_OP6 = """
+WITH cut AS (
+    SELECT page_id, CASE WHEN position('://' IN url) > 0
+        THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+    SELECT page_id,
+        translate(regexp_extract(rest, '^[^/?#]*'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM cut
+), rules(verdict, rule_host, rule_path) AS (VALUES
+    ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+    ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), best AS (
+    SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+        arg_max(verdict, length(rule_host || rule_path)) AS verdict
+    FROM parts JOIN rules
+        ON ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path)
+    GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_url_filter": _OP6}
