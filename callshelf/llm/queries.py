@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callshelf.llm.bpe import round_trip_digests
 from callshelf.llm.common import table
+from callshelf.llm.packing import pack_documents
 from callshelf.llm.quality import quality_report
 from callshelf.llm.sharding import shard_documents
 from callshelf.llm.url_filter import judge_urls
@@ -36,6 +37,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     name: query for name, query in list(globals().items()) if name.startswith("op")
 }
