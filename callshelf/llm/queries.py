@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callshelf.llm.bpe import round_trip_digests
 from callshelf.llm.common import table
+from callshelf.llm.near_dedup import near_duplicates
 from callshelf.llm.packing import pack_documents
 from callshelf.llm.quality import quality_report
 from callshelf.llm.sharding import shard_documents
@@ -28,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).drop("url")
