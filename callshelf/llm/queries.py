@@ -12,8 +12,13 @@ from callshelf.llm.near_dedup import near_duplicates
 from callshelf.llm.packing import pack_documents
 from callshelf.llm.quality import quality_report
 from callshelf.llm.sharding import shard_documents
+from callshelf.llm.surrogates import replace_entities
+from callshelf.llm.toxicity import score_documents
 from callshelf.llm.url_filter import judge_urls
 
+#: The key of the registered query; a user's own belongs in a secret store.
+SURROGATE_KEY = "registered query"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -46,6 +51,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    replaced = replace_entities(documents, SURROGATE_KEY, count_column="n_replaced")
+    return replaced.select("doc_id", "text", "n_replaced")
+
+
 QUERIES: dict[str, Query] = {
     name: query for name, query in list(globals().items()) if name.startswith("op")
 }
