@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callshelf.llm.bpe import round_trip_digests
 from callshelf.llm.common import table
+from callshelf.llm.lm_score import score_documents as lm_score_documents
 from callshelf.llm.near_dedup import near_duplicates
 from callshelf.llm.packing import pack_documents
 from callshelf.llm.quality import quality_report
 from callshelf.llm.sharding import shard_documents
 from callshelf.llm.surrogates import replace_entities
-from callshelf.llm.toxicity import score_documents
+from callshelf.llm.topk import top_k
+from callshelf.llm.toxicity import score_documents as toxicity_score_documents
 from callshelf.llm.url_filter import judge_urls
 
 #: The key of the registered query; a user's own belongs in a secret store.
@@ -26,6 +28,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(table(spark, sf_dir, "documents"))
     return report.select(
@@ -52,7 +62,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +99,22 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op6_url_filter": _OP6}
+_OP3 = """
+WITH whole AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, vec_id, score,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_topk": _OP3, "op6_url_filter": _OP6}
