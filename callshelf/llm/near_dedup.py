@@ -453,3 +453,29 @@ def near_duplicates(
             (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
         )
     )
+
+
+def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, one for each id, all columns.
+
+    The ids that go are few beside the texts, so those are what is looked up, by broadcast
+    up to ``BROADCAST_IDS`` and by a shuffle beyond. Only rows whose id repeats are compared
+    with each other.
+    """
+    judged = stage(
+        near_duplicates(docs, id_column=id_column, **options).select(
+            F.col(id_column).alias("_id"), "kept"
+        ),
+        "near-kept",
+    )
+    gone = judged.where(~F.coalesce("kept", F.lit(True))).select("_id").distinct()
+    again = judged.where("kept").groupBy("_id").count().where("count > 1").select("_id")
+
+    def few(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    gone, again = few(gone), few(again)
+    left = docs.join(gone, docs[id_column] == gone["_id"], "left_anti")
+    once = left.join(again, left[id_column] == again["_id"], "left_anti")
+    repeated = left.join(again, left[id_column] == again["_id"], "left_semi")
+    return once.unionByName(repeated.dropDuplicates([id_column]))
