@@ -56,6 +56,5 @@ STOP_WORDS = [
 CID_PREFIX_HEX = "01551220"
 BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 
-# Column sizes of the two catalog tables.
+# Fixed value: size of the identifier columns of the two catalog tables.
 CID_MAX_CHARS = 255
-TEXT_MAX_BYTES = 65535

@@ -74,8 +74,10 @@ class ExcludeRules:
     """Default patterns plus the caller's. The last rule that matches decides."""
 
     def __init__(self, patterns: Iterable[str] = (), *, defaults: bool = True) -> None:
-        merged = dict.fromkeys([*(DEFAULT_EXCLUDES if defaults else ()), *patterns])
-        self.rules = [rule for rule in map(pattern_rule, merged) if rule]
+        merged = [*(DEFAULT_EXCLUDES if defaults else ()), *patterns]
+        # Of a repeated pattern the last place counts.
+        last = list(dict.fromkeys(reversed(merged)))[::-1]
+        self.rules = [rule for rule in map(pattern_rule, last) if rule]
 
     @property
     def has_exceptions(self) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callshelf.functions import identity
-from callshelf.functions.fixed_values import CALLABLE_TYPES, CID_MAX_CHARS, TEXT_MAX_BYTES
+from callshelf.functions.fixed_values import CALLABLE_TYPES, CID_MAX_CHARS
 from callshelf.functions.paths import is_test, path_tags, stored_path
 from callshelf.functions.verdict import reject_reason
 
@@ -51,11 +51,16 @@ def with_path_facts(df: DataFrame, base: Column | str = "/", **tag_options) -> D
 
 
 def constraint_error(
-    *, text_max_bytes: int = TEXT_MAX_BYTES, cid_max_chars: int = CID_MAX_CHARS
+    *, text_max_bytes: int | None = None, cid_max_chars: int = CID_MAX_CHARS
 ) -> Column:
-    """Why an entry does not fit the tables, or null. Null texts are no size error."""
+    """Why an entry does not fit the tables, or null. Null texts are no size error.
 
-    def too_long(size: Column, limit: int, column: str) -> Column:
+    Texts may have any size unless ``text_max_bytes`` says otherwise.
+    """
+
+    def too_long(size: Column, limit: int | None, column: str) -> Column:
+        if limit is None:
+            return F.lit(None).cast("string")
         return F.when(size > limit, f"Data too long for column '{column}'")
 
     return F.coalesce(
@@ -69,17 +74,21 @@ def constraint_error(
     )
 
 
-def check_constraints(entries: DataFrame, **limits: int) -> DataFrame:
+def check_constraints(entries: DataFrame, **limits: int | None) -> DataFrame:
     return entries.withColumn("error", constraint_error(**limits))
 
 
 def annotate(extracted: DataFrame, **limits: int) -> DataFrame:
     """Everything a run needs to know of each extracted row, in one narrow pass.
 
+    Positions (``arrival``, ``twin``) are kept; an extractor without them gives one arrival.
     Keeps file rows (``parse_error``) and rejected callables (``reject_reason``) for
     counting, without their texts. Valid callables get ``file_path``, ``code_cid``,
     ``cid`` and, if they do not fit the tables, ``error``.
     """
+    for name, kind in (("arrival", "string"), ("twin", "bigint")):
+        if name not in extracted.columns:
+            extracted = extracted.withColumn(name, F.lit(None).cast(kind))
     named = with_reject_reason(extracted.withColumnRenamed("error", "parse_error"))
     is_callable = F.col("name").isNotNull()
     judged = named.withColumn("reject_reason", F.when(is_callable, F.col("reject_reason")))
@@ -95,6 +104,8 @@ def annotate(extracted: DataFrame, **limits: int) -> DataFrame:
         stored_path(F.col("path")).alias("file_path"),
         "reject_reason",
         "parse_error",
+        "arrival",
+        "twin",
     )
     # without texts both identifiers are null
     identified = with_interface_cid(with_code_cid(kept))

@@ -29,18 +29,19 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore", SyntaxWarning)
     rows: list[dict] = []
     for batch in batches:
-        columns = (batch.column(name) for name in ("path", "content", "read_error"))
-        for path, content, read_error in zip(*columns):
+        names = ("path", "content", "read_error", "arrival", "twin")
+        for path, content, read_error, arrival, twin in zip(*map(batch.column, names)):
             path = path.as_py()
+            place = {"path": path, "arrival": arrival.as_py(), "twin": twin.as_py()}
             found, error = [], read_error.as_py()
             if error is None:
                 try:
-                    found = [{"path": path, **row} for row in definitions(content.as_py() or "")]
+                    found = [{**place, **row} for row in definitions(content.as_py() or "")]
                     for row in found:
                         _require_utf8(row)
                 except _UNPARSABLE as problem:
                     found, error = [], f"Syntax error in {path}: {problem}"
-            rows.append({"path": path, "error": error})
+            rows.append({**place, "error": error})
             rows.extend(found)
             if len(rows) >= _ROWS_PER_BATCH:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -50,16 +51,19 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_definitions(sources: DataFrame) -> DataFrame:
-    """Parse every file of ``sources(path, content[, read_error])`` in one narrow job.
+    """Parse every file of ``sources(path, content[, read_error, arrival])`` in one narrow job.
 
     No shuffle: a task parses the files of its own input split. Size the splits with
     ``spark.sql.files.maxPartitionBytes`` (parsing dominates, so small ones pay off).
     """
     read_error = F.col("read_error") if "read_error" in sources.columns else F.lit(None)
+    arrival = F.col("arrival") if "arrival" in sources.columns else F.lit(None)
     files = sources.select(
         "path",
         unix_newlines(F.col("content")).alias("content"),
         read_error.cast("string").alias("read_error"),
+        arrival.cast("string").alias("arrival"),
+        F.xxhash64("content").alias("twin"),
     )
     return files.mapInArrow(_parse, DEFINITIONS)
 
@@ -89,11 +93,13 @@ def extract_callables(sources: DataFrame) -> DataFrame:
         (keyword == "async def").alias("is_async"),
         "decorators",
         "error",
+        "arrival",
+        "twin",
     )
 
 
 def callables_only(extracted: DataFrame) -> DataFrame:
-    return extracted.where(F.col("name").isNotNull()).drop("error")
+    return extracted.where(F.col("name").isNotNull()).drop("error", "arrival", "twin")
 
 
 def parse_errors(extracted: DataFrame) -> DataFrame:

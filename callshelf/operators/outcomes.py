@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 UPLOADED, DUPLICATE, ERROR = "uploaded", "duplicate", "error"
 
 ORDER = ("path", "line_number")
+# The place of an entry in a run. Sources that came later go after earlier ones; several
+# contents of one path that came together go in the order of their hashes; ``row`` is a
+# number of the staged table and decides between rows that are equal.
+POSITION = ("arrival", "path", "twin", "line_number", "row")
 
 # At most this many keys are broadcast. Any key beyond them holds less than 1/HOT_KEYS
 # of all rows, so what is left for the shuffle join is spread evenly enough.
@@ -71,9 +75,9 @@ def lookup(
     )
     cold = facts.select(F.col(key).alias("_cold_key"), F.col("fact").alias("_cold_fact"))
     # A row served by the broadcast gets a shuffle key of its own that matches nothing.
-    shuffle_key = F.when(
-        F.col("_hot_fact").isNotNull(), F.concat(F.lit("\0"), F.xxhash64(*spread).cast("string"))
-    ).when(has_key(key), F.col(key))
+    # So does a row without a key: such rows may be many.
+    own = F.concat(F.lit("\0"), F.xxhash64(*spread).cast("string"))
+    shuffle_key = F.when(F.col("_hot_fact").isNull() & has_key(key), F.col(key)).otherwise(own)
     return (
         rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_shuffle_key", shuffle_key)

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callshelf.functions.paths import is_test, path_tags
-from callshelf.operators.outcomes import ORDER, UPLOADED
+from callshelf.operators.outcomes import ORDER, POSITION, UPLOADED
 from callshelf.schemas import CODES, METADATA
 
 
+# Rows of an identifier and a number: some 10 MB.
+BROADCAST_WINNERS = 100_000
+
+
 def _uploaded(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("outcome") == UPLOADED)
 
@@ -33,15 +37,21 @@ def codes_changes(
     outcomes: DataFrame,
     entries: DataFrame,
     as_of: datetime | Column,
-    order: Sequence[str] = ORDER,
+    order: Sequence[str] = POSITION,
 ) -> DataFrame:
     """Rows to replace in ``codes``: the last entry wins, whole, both times restart.
 
-    ``outcomes`` is narrow; the texts in ``entries`` are looked up for winners only.
+    ``outcomes`` is narrow; the texts in ``entries`` (a table with the same ``row`` numbers)
+    are looked up for winners only. Up to ``BROADCAST_WINNERS`` of them the texts stay where
+    they are read: in the usual re-run nearly all entries are duplicates. More are met by
+    a shuffle of the rows.
     """
     now = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    texts = entries.select(*order, "code_cid", "signature", "docstring", "source_code")
-    return texts.join(code_winners(outcomes, order), list(order)).select(
+    texts = entries.select("row", "code_cid", "signature", "docstring", "source_code")
+    winners = code_winners(outcomes, order).select("immutable_cid", "row")
+    if outcomes.where(F.col("outcome") == UPLOADED).count() <= BROADCAST_WINNERS:
+        winners = F.broadcast(winners)
+    return texts.join(winners, "row").select(
         F.col("immutable_cid").alias("cid"),
         F.col("code_cid").alias("version_cid"),
         "signature",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from callshelf.operators import report
 from callshelf.operators.entries import annotate, catalog_entries, file_errors
 from callshelf.operators.extract import extract_callables
-from callshelf.operators.outcomes import resolve_outcomes
+from callshelf.operators.outcomes import POSITION, resolve_outcomes
+from callshelf.operators.tags import without_words
 from callshelf.operators.upsert import codes_changes, metadata_changes
 from callshelf.session import release, scratch, stage_at
 from callshelf.sources.store import CatalogStore
@@ -51,16 +52,25 @@ def ingest(
     extract: Callable[[DataFrame], DataFrame] = extract_callables,
     tag_options: dict[str, Any] | None = None,
     limits: dict[str, int] | None = None,
+    words: DataFrame | None = None,
 ) -> IngestRun:
-    """Take ``sources(path, content[, read_error])``, one row per path, into the catalog.
+    """Take ``sources(path, content[, read_error, arrival])`` into the catalog.
+
+    Entries are decided in order of arrival (a text; rows without one come first), path,
+    content hash and line, so several versions of a path count as if they had come in
+    separate runs in that order, and every entry has one place. ``words(word)`` are left out
+    of the tags.
 
     Two tables are staged: the annotated callables (parsing and hashing run once) and the
     narrow outcomes. All that follows reads the few columns it needs of them.
     """
-    store.require_tables()
+    runs = store.runs()
+    store.require_tables(runs)
     as_of = as_of or datetime.now(timezone.utc)
     folders = [scratch(store.spark, "annotated"), scratch(store.spark, "outcomes")]
-    staged = stage_at(annotate(extract(sources), **(limits or {})), folders[0])
+    annotated = annotate(extract(sources), **(limits or {}))
+    # Written once, so a row keeps its number.
+    staged = stage_at(annotated.withColumn("row", F.monotonically_increasing_id()), folders[0])
     entries, failed = catalog_entries(staged), file_errors(staged)
 
     if dry_run:
@@ -73,21 +83,28 @@ def ingest(
             upload_errors=report.upload_errors(nothing),
             errors=report.error_report(failed, report.upload_errors(nothing)),
             outcomes=None,
-            preview=report.preview(entries, store.metadata_keys()),
+            preview=report.preview(entries, store.metadata_keys(runs)),
             version=None,
             staged=(folders[0],),
         )
 
     narrow = entries.select(
-        "cid", "code_cid", "path", "line_number", "name", "type", "file_path", "error"
+        "cid", "code_cid", *POSITION, "name", "type", "file_path", "error"
     )
     outcomes = stage_at(
-        resolve_outcomes(narrow, store.metadata_keys(), bypass=bypass), folders[1]
+        resolve_outcomes(narrow, store.metadata_keys(runs), bypass=bypass, order=POSITION),
+        folders[1],
+    )
+    tagged = metadata_changes(
+        outcomes, base, POSITION, one_per_key=not bypass, **(tag_options or {})
     )
+    if words is not None:
+        tagged = without_words(tagged, words, key="cid")
     version = store.commit(
         codes_changes(outcomes, entries, as_of),
-        metadata_changes(outcomes, base, one_per_key=not bypass, **(tag_options or {})),
+        tagged,
         batch_id=batch_id,
+        runs=runs,
     )
     stats = report.run_stats(staged, outcomes)
     failures = report.upload_errors(outcomes)

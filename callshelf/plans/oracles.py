@@ -293,8 +293,13 @@ SELECT file_path, code_name, code_type, signature, docstring, version_cid
 FROM metadata m JOIN codes c ON m.code_cid = c.cid""",
     "q_store_total": f"""{_RUN}
 SELECT count(*) AS total, format('{{:,}}', count(*)) AS shown FROM codes""",
+    "q_word_list_catalog": f"""{_RUN}
+SELECT cid, file_path, code_name, coalesce(array_to_string(
+  [t for t in string_split(tags, ',') if t NOT IN ('tools', 'parts')], ','), '') AS tags
+FROM metadata""",
     "q_dry_run": f"""WITH {_corpus(2)}
-SELECT path, line_number, name, substring(code_cid, 1, 12) AS short_cid, true AS known
+SELECT path, line_number, name, substring(code_cid, 1, 12) AS short_cid,
+       split_part(path, '/', 4) IN ({', '.join(map(_text, FOLDERS[:2]))}) AS known
 FROM valid""",
     "q_incremental": f"""{_RUN}
 SELECT m.*, c.version_cid, c.signature, c.docstring, c.computer_code

@@ -86,7 +86,7 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_store(spark: SparkSession, sf_dir: str) -> CatalogStore:
     store = CatalogStore.create(spark, scratch(spark, "catalog"))
-    ingest(part_corpus(spark, sf_dir), store, base=BASE, as_of=AS_OF)
+    ingest(part_corpus(spark, sf_dir), store, base=BASE, as_of=AS_OF).release()
     return store
 
 
@@ -275,7 +275,8 @@ def q_upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bypass_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run over changed bodies, with known interfaces written again."""
     store = _part_store(spark, sf_dir)
-    ingest(part_corpus(spark, sf_dir, revision=2), store, bypass=True, base=BASE, as_of=AS_OF)
+    second = part_corpus(spark, sf_dir, revision=2)
+    ingest(second, store, bypass=True, base=BASE, as_of=AS_OF).release()
     codes = _codes_view(store).withColumnRenamed("cid", "code_cid")
     return _metadata_view(store).join(codes, "code_cid")
 
@@ -292,9 +293,25 @@ def q_store_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("total", F.format_number("total", 0).alias("shown"))
 
 
+def _in_first_folders(corpus: DataFrame) -> DataFrame:
+    inside = [F.col("path").startswith(f"{BASE}/{folder}/") for folder in FOLDERS[:2]]
+    return corpus.where(inside[0] | inside[1])
+
+
+def q_word_list_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog whose tags lack the words of a table: here those of the part types."""
+    words = _table(spark, sf_dir, "part").select(
+        F.explode(F.split(F.concat_ws(" ", F.lower("p_type"), F.lit("tools parts")), " ")).alias("word")
+    ).distinct()
+    store = CatalogStore.create(spark, scratch(spark, "catalog"))
+    ingest(part_corpus(spark, sf_dir), store, base=BASE, as_of=AS_OF, words=words).release()
+    return _metadata_view(store).select("cid", "file_path", "code_name", "tags")
+
+
 def q_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dry run of the second revision against the catalog of the first."""
-    store = _part_store(spark, sf_dir)
+    """A dry run of the second revision against a catalog of half the files of the first."""
+    store = CatalogStore.create(spark, scratch(spark, "catalog"))
+    ingest(_in_first_folders(part_corpus(spark, sf_dir)), store, base=BASE, as_of=AS_OF).release()
     run = ingest(part_corpus(spark, sf_dir, revision=2), store, dry_run=True, base=BASE)
     return run.preview
 

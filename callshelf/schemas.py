@@ -30,6 +30,9 @@ DEFINITIONS = T.StructType(
         T.StructField("source_code", STR),
         T.StructField("decorators", STRINGS),
         T.StructField("error", STR),
+        # the place of the file's row among the sources: when it came, and what is in it
+        T.StructField("arrival", STR),
+        T.StructField("twin", BIGINT),
     ]
 )
 
@@ -62,5 +65,8 @@ COMMITS = T.StructType(
         T.StructField("version", BIGINT, False),
         T.StructField("is_base", BOOL, False),
         T.StructField("batch_id", STR),
+        # the folder of the run's rows, and the runs whose rows it holds anew
+        T.StructField("run", STR, False),
+        T.StructField("folds", STRINGS),
     ]
 )

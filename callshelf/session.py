@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # "local-cluster[...]" has executors with folders of their own
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"Set {_CHECKPOINT_DIR} to a folder all executors share")
     spark.conf.set(_CHECKPOINT_DIR, tempfile.mkdtemp(prefix="callshelf-"))
     return spark.conf.get(_CHECKPOINT_DIR)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callshelf.plans.ingest import ingest
@@ -16,11 +17,17 @@ def read_source_stream(
     spark: SparkSession, folder: str, max_files_per_batch: int | None = None
 ) -> DataFrame:
     """Files that arrive in a parquet table of sources. (A raw tree is no stream source:
-    file sources hide names that start with ``_``.)"""
+    file sources hide names that start with ``_``.)
+
+    ``arrival`` is the time at which the file of a row was written, and its name: the order
+    in which versions of a path that one trigger finds together are taken.
+    """
     reader = spark.readStream.schema(SOURCES)
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
-    return reader.parquet(folder)
+    written = F.unix_micros("_metadata.file_modification_time").cast("string")
+    arrival = F.concat_ws("/", F.lpad(written, 20, "0"), "_metadata.file_name")
+    return reader.parquet(folder).withColumn("arrival", arrival)
 
 
 def start_ingest(

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from callshelf.schemas import SOURCES
 from callshelf.session import scratch
 from callshelf.sources.store import CatalogStore
@@ -46,6 +50,41 @@ def test_a_replayed_batch_changes_nothing(spark, store):
     assert store._versions() == [0, 1] and names(store) == set()
 
 
+def test_versions_of_one_path_in_one_trigger(spark, store):
+    """Two files of the table, one trigger: as if each had come in a run of its own."""
+    folder, checkpoint = scratch(spark, "in"), scratch(spark, "stream")
+    text = 'def a(x):\n    """A."""\n    return {}\n\n\ndef only_{}():\n    """Only {}."""\n'
+    for number in (1, 2):
+        arrive(spark, folder, {"/w/a.py": text.format(number, number, number)})
+    start_ingest(
+        read_source_stream(spark, folder), store, checkpoint, base="/w", bypass=True
+    ).awaitTermination()
+    rows = store.catalog().collect()
+    assert sorted(r.code_name for r in rows) == ["a", "only_1", "only_2"]
+    (a,) = [r for r in rows if r.code_name == "a"]
+    assert "return 2" in a.computer_code  # the later one is written again over the earlier
+
+
+@pytest.mark.parametrize("bypass", [False, True])
+def test_keys_stay_unique_with_repeated_paths(spark, store, bypass):
+    from callshelf.plans.ingest import ingest
+    from callshelf.session import stage
+
+    rng = random.Random(7)
+    for _ in range(2):
+        rows = [
+            (f"/w/m{rng.randint(0, 3)}.py",
+             f'def f{rng.randint(0, 2)}(x):\n    """D."""\n    return {rng.randint(0, 3)}\n',
+             None)
+            for _ in range(30)
+        ]
+        sources = stage(spark.createDataFrame(rows, SOURCES), "in")
+        ingest(sources, store, base="/w", bypass=bypass)
+        for table in (store.codes(), store.metadata()):
+            assert table.count() == table.select("cid").distinct().count() > 0
+        assert store.catalog().count() == store.metadata().count()
+
+
 def test_like_batch_runs_in_order(spark, store):
     from callshelf.plans.ingest import ingest
     from callshelf.session import stage

@@ -130,14 +130,12 @@ def test_no_files_is_success(spark, store, sources):
 
 def test_long_code(spark, store, sources):
     body = "\n".join(f"    x{i} = {i}" for i in range(10_000))
-    run = ingest(sources({"/w/big.py": f'def big():\n    """Big."""\n{body}\n'}), store)
+    big = sources({"/w/big.py": f'def big():\n    """Big."""\n{body}\n'})
+    run = ingest(big, store, limits={"text_max_bytes": 65_535})
     assert [r.error for r in run.upload_errors.collect()] == [
         "Data too long for column 'computer_code'"
     ]
-    run = ingest(
-        sources({"/w/big.py": f'def big():\n    """Big."""\n{body}\n'}), store,
-        limits={"text_max_bytes": 1 << 20},
-    )
+    run = ingest(big, store)  # no limit unless one is given
     assert stats_of(run)["new_uploads"] == 1
     assert store.codes().first().computer_code.count("\n") == 10_001
 

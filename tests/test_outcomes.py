@@ -93,3 +93,23 @@ def test_hot_keys_leave_the_shuffle_key(spark):
     assert got.count() == 10_000
     assert got.where("fact is null").count() == 0
     assert got.where("k = 'hot' and fact.first = 0 and fact.n_rows = 3334").count() == 3334
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = spark.range(0, 4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(" ")).otherwise(F.col("id").cast("string")).alias("cid"),
+        F.col("id"),
+    )
+    facts = rows.where("trim(cid) <> ''").groupBy("cid").agg(F.count(F.lit(1)).alias("n_rows"))
+    facts = facts.select("cid", F.struct("n_rows").alias("fact"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        joined = lookup(rows, facts, "cid", ["id"]).where("trim(cid) = ''")
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1000

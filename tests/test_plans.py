@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from callshelf.operators.entries import annotate, catalog_entries
+from callshelf.operators import report
+from callshelf.operators.entries import annotate, catalog_entries, file_errors
 from callshelf.operators.extract import extract_callables
-from callshelf.operators.outcomes import known_entries, resolve_outcomes
-from callshelf.operators.upsert import metadata_changes
+from callshelf.operators.outcomes import POSITION, known_entries, resolve_outcomes
+from callshelf.operators.upsert import codes_changes, metadata_changes
 from callshelf.plans import queries
 from callshelf.session import stage
 
@@ -85,9 +88,38 @@ def test_scans_are_pruned(spark, name, columns):
     assert read_columns(plan_of(queries.QUERIES[name](spark, SF_DIR))) == [columns]
 
 
+def test_no_operator_of_a_run_crosses_tables(spark, staged, store):
+    entries = catalog_entries(staged.withColumn("row", F.monotonically_increasing_id()))
+    entries = stage(entries, "entries")
+    outcomes = stage(resolve_outcomes(entries, order=POSITION), "outcomes")
+    stats = report.run_stats(staged, outcomes)
+    failed, rejected = file_errors(staged), report.upload_errors(outcomes)
+    frames = [
+        codes_changes(outcomes, entries, datetime(2024, 1, 1)),
+        metadata_changes(outcomes, order=POSITION),
+        stats, report.run_status(stats),
+        report.error_report(failed, rejected),
+        report.preview(entries, store.metadata_keys()),
+        store.catalog(), store.total(),
+    ]
+    for frame in frames:
+        plan = plan_of(frame)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_texts_of_few_winners_stay_where_they_are(spark, staged):
+    entries = catalog_entries(staged.withColumn("row", F.monotonically_increasing_id()))
+    entries = stage(entries, "entries")
+    outcomes = stage(resolve_outcomes(entries, order=POSITION), "outcomes")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(codes_changes(outcomes, entries, datetime(2024, 1, 1)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [row" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_no_query_crosses_tables(spark, name):
-    if name in {"q_bypass_upsert", "q_incremental", "q_run_status", "q_dry_run"}:
-        pytest.skip("runs the same plans as q_upsert_codes")
     plan = plan_of(queries.QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

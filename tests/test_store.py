@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from callshelf.schemas import CODES, METADATA
+from callshelf.schemas import CODES, COMMITS, METADATA
 from callshelf.session import scratch
 from callshelf.sources.store import CatalogStore
 
@@ -78,11 +78,11 @@ def test_missing_tables(spark, store):
     with pytest.raises(RuntimeError, match="No catalog"):
         CatalogStore(spark, scratch(spark, "nothing")).require_tables()
     lame = CatalogStore(spark, scratch(spark, "lame"))
-    spark.createDataFrame([(0, True, None)], "version long, is_base boolean, batch_id string").write.parquet(
+    spark.createDataFrame([(0, True, None, "0", None)], COMMITS).write.parquet(
         f"{lame.root}/commits"
     )
     spark.createDataFrame([], CODES).write.parquet(f"{lame.root}/codes/v=0")
-    with pytest.raises(RuntimeError, match="'metadata' is missing"):
+    with pytest.raises(RuntimeError, match="no table 'metadata'"):
         lame.require_tables()
     spark.createDataFrame([], METADATA.fieldNames()[0] + " string").write.parquet(
         f"{lame.root}/metadata/v=0"
@@ -91,6 +91,25 @@ def test_missing_tables(spark, store):
         lame.require_tables()
 
 
+def test_two_writers_from_one_version_keep_both(spark, store):
+    seen = store.runs()
+    store.commit(codes(spark, ("a", "a", T1)), metadata(spark, ("m", "a", "f")), runs=seen)
+    store.commit(codes(spark, ("b", "b", T1)), metadata(spark, ("n", "b", "g")), runs=seen)
+    assert {r.cid for r in store.codes().collect()} == {"a", "b"}
+    assert store._versions() == [0, 1, 1]
+    # a commit that was under way while the catalog was compacted is not lost either
+    store.compact()
+    store.commit(codes(spark, ("c", "c", T1)), metadata(spark, ("o", "c", "h")), runs=seen)
+    assert {r.cid for r in store.codes().collect()} == {"a", "b", "c"}
+
+
+def test_tables_without_a_ledger_are_not_taken_over(spark):
+    root = scratch(spark, "lost")
+    codes(spark, ("a", "a", T1)).write.parquet(f"{root}/codes/v=0")
+    with pytest.raises(RuntimeError, match="no commits"):
+        CatalogStore.create(spark, root)
+
+
 def test_batches(spark, store):
     assert not store.has_batch("s#1")
     store.commit(codes(spark), metadata(spark), batch_id="s#1")
