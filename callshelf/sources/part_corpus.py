@@ -6,6 +6,10 @@ Ten parts make one file, each part one callable. The kind of a callable follows
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,32 @@ TEMPLATES = [
 ]
 
 
+def write_tree(corpus: DataFrame, root: str) -> int:
+    """Write ``corpus(path, content)`` as files below ``root``, a folder that all executors
+    mount, with what a scan must cope with: an empty ``__init__.py`` and a file in an excluded
+    folder beside each file, and one file that is no UTF-8. Returns the number of files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                place = root + path.removeprefix(BASE)
+                folder = os.path.dirname(place)
+                os.makedirs(f"{folder}/__pycache__", exist_ok=True)
+                for name, data in (
+                    (place, content.encode()),
+                    (f"{folder}/__init__.py", b""),
+                    (f"{folder}/__pycache__/{os.path.basename(place)}", content.encode()),
+                    (f"{root}/latin.py", "# caf\xe9\n".encode("latin-1")),
+                ):
+                    # a task that runs again writes the same
+                    with open(name, "wb") as file:
+                        file.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = corpus.select("path", "content").mapInArrow(write, "n bigint")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 _SEPARATOR = "\x1f"
 
 

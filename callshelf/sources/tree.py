@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from callshelf.functions.patterns import ExcludeRules
 from callshelf.functions.paths import relative_path
-from callshelf.session import parallelism, scratch
+from callshelf.session import parallelism, scratch, stage
 
 _LISTING = "root string, folder string, name string, is_folder boolean, target string"
 _LISTING_ARROW = pa.schema(
@@ -167,8 +167,9 @@ def read_sources(paths: DataFrame, *, files_per_task: int = 1_000) -> DataFrame:
     Paths are few bytes and contents are many, so tasks are sized by number of files.
     """
     cores = paths.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, ceil(paths.count() / files_per_task))
-    read = paths.select("path").repartition(tasks).mapInArrow(
+    listed = stage(paths.select("path"), "paths")  # counted and read: listed once
+    tasks = max(cores, ceil(listed.count() / files_per_task))
+    read = listed.repartition(tasks).mapInArrow(
         _read_files, "path string, data binary, problem string"
     )
     text = F.try_validate_utf8(F.col("data").cast("string"))
