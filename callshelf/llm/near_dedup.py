@@ -4,18 +4,19 @@ A document is its set of word shingles. Documents of one set are one class, and
 what is joined. Independent trees branch the classes: a node chooses some positions of the
 min-hash signature and hands each of its classes to the children named after the values
 there, so a pair of similarity ``s`` goes on together along a share ``s`` of the paths.
-With ``BRANCHES`` = 3 paths per node and 4 trees a pair at 0.75 is missed about once in ten
-million. Small nodes are compared exhaustively.
+With ``BRANCHES`` = 3 paths per node and 3 trees a pair at 0.75 is missed about once in
+a hundred thousand. Small nodes are compared exhaustively.
 
 What must come out is which classes hang together, so nodes work on components. A node whose
 classes hang together already is done: this is how a group of thousands of near copies ends,
 without all of its pairs. First all classes of a node are compared with one member of it,
-then small nodes exhaustively, then large ones branch. What is still large at the last
-level holds classes that branching cannot tell apart: there the classes outside the largest
-component are compared with all, block by block.
+then small nodes exhaustively, then large ones branch. Dense nodes, and what is still large
+at the last level, hold classes that branching cannot tell apart: there the classes outside
+the largest component are compared with all, block by block.
 
-Signatures propose pairs (an estimate far below the threshold is the only ground to pass one
-over), and full shingle sets confirm each link.
+Signatures say which classes of a node are likely to have a partner (an estimate far below
+the threshold is the only ground to pass one over), and full shingle sets confirm each link.
+A node hands on as many links as tie its components together.
 """
 
 from __future__ import annotations
@@ -28,26 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from callshelf.llm.common import text_slices, texts_of
-from callshelf.llm.components import components
+from callshelf.llm.components import bounded, components, stage_narrow
 from callshelf.session import stage
 
 SHINGLE = 5
 #: Link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 POSITIONS = 64
-TREES = 4
+TREES = 3
 BRANCHES = 3
-DEPTH = 3
+DEPTH = 2
 #: Nodes of as many classes or fewer are compared exhaustively.
-SMALL_NODE = 32
-BLOCK = 512
+SMALL_NODE = 256
+BLOCK = 2048
+#: Larger nodes whose classes are on average so similar to one of them are not branched:
+#: most paths would keep them together.
+DENSE = 0.4
 #: Pairs of a lower estimate are not confirmed: 4.6 standard deviations below the threshold.
 LEAST_ESTIMATE = 0.5
-#: Classes whose sets are fetched by a broadcast of their ids; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 CACHED_WORDS = 1_000_000
+#: Shingle sets a task takes.
+WIDE_ROWS = 5_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -153,8 +158,7 @@ def fetched_sets(
 ) -> DataFrame:
     """``(id, shingles)`` of the documents in ``wanted(id)``, computed anew from their texts."""
     narrow = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = narrow.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    chosen = narrow.join(bounded(wanted), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -191,7 +195,7 @@ class _Join:
         self.classes = classes  # vertex, signature
         self.sets = sets  # id, shingles
         self.similarity = similarity
-        self.links: DataFrame | None = None
+        self.rows = 0
         self.judged: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -199,31 +203,37 @@ class _Join:
         """``members`` with the root of each vertex."""
         if self.roots is None:
             return members.withColumn("root", F.col("vertex"))
-        return members.join(self.roots, "vertex", "left").withColumn(
+        return members.join(bounded(self.roots), "vertex", "left").withColumn(
             "root", F.coalesce("root", "vertex")
         )
 
     def open_nodes(self, members: DataFrame) -> DataFrame:
         """``(node, vertex, root, size)`` of nodes with more than one component."""
         rooted = self.with_roots(members)
-        nodes = (
+        nodes = stage_narrow(
             rooted.groupBy("node")
             .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("l"), F.max("root").alias("h"))
             .where("l <> h")
-            .select("node", "size")
+            .select("node", "size"),
+            "open",
+            self.rows,
         )
-        return stage(rooted.join(nodes, "node"), "nodes")
+        found = stage_narrow(rooted.join(bounded(nodes), "node"), "nodes", self.rows)
+        self.rows = found.count()
+        return found
 
     def confirm(self, pairs: DataFrame) -> None:
         """Judge ``pairs(a, b)`` on full sets, and let the components grow by the links."""
         fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.judged is not None:
             fresh = fresh.join(self.judged, ["a", "b"], "left_anti")
-        fresh = stage(fresh, "pairs")
+        fresh = stage_narrow(fresh, "pairs", self.rows)
         if fresh.isEmpty():
             return
+        # Pairs go to where the sets are; only the sets of pairs are shuffled.
         first = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         second = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        second = second.join(bounded(fresh.select("b").distinct()), "b", "left_semi")
         similarity = self.similarity
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,15 +250,35 @@ class _Join:
         schema = T.StructType(
             [*fresh.schema.fields, T.StructField("linked", T.BooleanType())]
         )
-        result = stage(
-            fresh.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
+        result = stage_narrow(
+            first.join(bounded(fresh), "a").join(second, "b").select("a", "b", "sa", "sb")
             .mapInArrow(run, schema),
             "judged",
+            self.rows,
+            WIDE_ROWS,
         )
-        links = result.where("linked").select("a", "b")
         self.judged = fresh if self.judged is None else self.judged.unionByName(fresh)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.roots = components(self.links)
+        self.grow(result.where("linked").select("a", "b"))
+
+    def grow(self, links: DataFrame) -> None:
+        """Let the components grow: what is new are links between their roots."""
+        if self.roots is None:
+            self.roots = components(links, self.rows)
+            return
+        known = bounded(self.roots)
+        for end in ("a", "b"):
+            own = known.select(F.col("vertex").alias(end), F.col("root").alias("_root"))
+            links = links.join(own, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        moved = components(links, self.rows)
+        if moved.isEmpty():
+            return
+        after = bounded(moved.select(F.col("vertex").alias("root"), F.col("root").alias("to")))
+        kept = self.roots.join(after, "root", "left").select(
+            "vertex", F.coalesce("to", "root").alias("root")
+        )
+        # vertices that had no link before
+        fresh = moved.join(self.roots.select("vertex"), "vertex", "left_anti")
+        self.roots = stage_narrow(kept.unionByName(fresh), "roots", self.rows)
 
     def _estimated(self, pairs: DataFrame) -> DataFrame:
         """``pairs(a, b)`` with the estimate of their similarity."""
@@ -270,8 +300,8 @@ class _Join:
             .mapInArrow(run, schema)
         )
 
-    def compare_with_leaders(self, members: DataFrame, seed: int) -> None:
-        """Compare each vertex with the most similar of its nodes' leaders, one per node."""
+    def with_leaders(self, members: DataFrame, seed: int) -> DataFrame:
+        """Pairs of each vertex and the most similar of its nodes' leaders, one per node."""
         order = F.struct(F.xxhash64("vertex", "node", F.lit(seed)), F.col("vertex"), F.col("root"))
         leaders = members.groupBy("node").agg(F.min(order).alias("l")).select(
             "node", F.col("l.vertex").alias("b"), F.col("l.root").alias("leader_root")
@@ -284,74 +314,168 @@ class _Join:
         )
         likely = self._estimated(pairs).where(F.col("estimate") >= LEAST_ESTIMATE)
         best = likely.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best"))
-        self.confirm(best.select("a", F.col("best.b").alias("b")))
+        return best.select("a", F.col("best.b").alias("b"))
+
+    def dense(self, nodes: DataFrame) -> DataFrame:
+        """``(node)`` of those nodes whose classes are similar to a leader on average."""
+        order = F.struct(F.xxhash64("vertex", "node"), F.col("vertex"))
+        leaders = nodes.groupBy("node").agg(F.min(order)["vertex"].alias("b"))
+        pairs = nodes.select("node", F.col("vertex").alias("a")).join(leaders, "node")
+        estimated = self._estimated(pairs.select("a", "b").distinct())
+        return stage_narrow(
+            pairs.join(estimated, ["a", "b"])
+            .groupBy("node")
+            .agg(F.avg("estimate").alias("mean"))
+            .where(F.col("mean") >= DENSE)
+            .select("node"),
+            "dense",
+            0,
+        )
 
-    def compare_all(self, nodes: DataFrame) -> None:
-        """Compare the classes of small nodes, and of pairs of blocks, exhaustively.
+    def links_within(self, nodes: DataFrame) -> DataFrame:
+        """``(a, b)``: links that tie the components of bounded nodes together.
 
-        ``nodes(node, vertex, root, side)``: with sides 0 and 1 only pairs across them count.
+        All classes of ``nodes(node, vertex, root, side)`` are compared; with sides 0 and 1
+        only across them. Signatures first leave the classes that have a likely partner in
+        another component, then those are compared by the sizes of all intersections.
         """
-        gathered = (
-            nodes.join(self.classes, "vertex")
-            .groupBy("node")
-            .agg(F.collect_list(F.struct("vertex", "root", "side", "signature")).alias("m"))
-            .select(
-                *[F.col(f"m.{name}").alias(name) for name in ("vertex", "root", "side", "signature")]
-            )
-        )
         kind = self.classes.schema["vertex"].dataType
+        fields = ("vertex", "root", "side")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered(rows: DataFrame, column: str) -> DataFrame:
+            parts = F.collect_list(F.struct(*fields, column)).alias("m")  # a bounded node
+            lists = [F.col(f"m.{name}").alias(name) for name in (*fields, column)]
+            return rows.groupBy("node").agg(parts).select("node", *lists)
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                left, right = [], []
+                chosen = [[] for _ in range(4)]
                 for row in range(batch.num_rows):
-                    vertex = batch.column("vertex")[row].values
-                    root = np.asarray(batch.column("root")[row].values.dictionary_encode().indices)
-                    side = np.asarray(batch.column("side")[row].values)
+                    vertex, root, side = (batch.column(n)[row].values for n in fields)
+                    labels = np.asarray(root.dictionary_encode().indices)
+                    sides = np.asarray(side)
                     known = _signature_rows(batch.column("signature")[row].values)
-                    for i in range(len(root)):
-                        others = (root != root[i]) & ((side == 2) | (side > side[i]))
-                        if side[i] == 2:
-                            others[: i + 1] = False
+                    has = np.zeros(len(labels), dtype=bool)
+                    for i in range(len(labels)):
+                        others = (labels != labels[i]) & ((sides == 2) | (sides != sides[i]))
                         at = np.flatnonzero(others)
                         if len(at):
                             near = (known[at] == known[i]).mean(axis=1) >= LEAST_ESTIMATE
-                            at = at[near]
-                            left.extend([vertex[i].as_py()] * len(at))
-                            right.extend(vertex[j].as_py() for j in at.tolist())
+                            has[i] = near.any()
+                    kept = np.flatnonzero(has)
+                    if len(kept):
+                        chosen[0].extend([batch.column("node")[row].as_py()] * len(kept))
+                        for part, values in zip(chosen[1:], (vertex, root, side)):
+                            part.extend(values.take(pa.array(kept)).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(chosen, types)], ["node", *fields]
+                )
+
+        types = [
+            pa.int64(), *[to_arrow_type(nodes.schema[name].dataType) for name in fields]
+        ]
+        schema = T.StructType(
+            [T.StructField("node", T.LongType()), *[nodes.schema[name] for name in fields]]
+        )
+        similarity = self.similarity
+
+        def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                left, right = [], []
+                for row in range(batch.num_rows):
+                    vertex, root, side = (batch.column(n)[row].values for n in fields)
+                    sets = [
+                        np.frombuffer(x, np.uint64)
+                        for x in batch.column("shingles")[row].values.to_pylist()
+                    ]
+                    labels = np.asarray(root.dictionary_encode().indices)
+                    for i, j in _ties(sets, labels, np.asarray(side), similarity):
+                        left.append(vertex[i].as_py())
+                        right.append(vertex[j].as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(left, batch.column("vertex").type.value_type),
-                     pa.array(right, batch.column("vertex").type.value_type)],
-                    ["a", "b"],
+                    [pa.array(left, types[1]), pa.array(right, types[1])], ["a", "b"]
                 )
 
-        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-        self.confirm(gathered.mapInArrow(run, schema))
+        signed = nodes.select("node", *fields).join(self.classes, "vertex")
+        candidates = gathered(signed, "signature").mapInArrow(likely, schema)
+        candidates = stage_narrow(candidates, "likely", self.rows, 10 * WIDE_ROWS)
+        sets = self.sets.withColumnRenamed("id", "vertex")
+        with_sets = gathered(sets.join(bounded(candidates), "vertex"), "shingles")
+        pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+        return stage_narrow(with_sets.mapInArrow(tied, pair), "tied", self.rows, WIDE_ROWS)
 
-    def compare_outsiders(self, nodes: DataFrame) -> None:
-        """In each node: the classes outside its largest component against all, in blocks."""
+    def in_blocks(self, nodes: DataFrame) -> DataFrame:
+        """Large nodes as pairs of blocks: the classes outside the largest component against all."""
         by_root = nodes.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = by_root.groupBy("node").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-        sizes = nodes.groupBy("node").agg(
-            F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
-        )
-        placed = (
-            nodes.select("node", "vertex", "root")
-            .join(largest, "node")
-            .join(sizes, "node")
-            .withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
+        facts = by_root.groupBy("node").agg(
+            F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all")
+        ).select(
+            "node",
+            F.col("main.root").alias("main"),
+            F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("outer"),
+            F.ceil(F.col("all") / BLOCK).cast("int").alias("inner"),
         )
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        outside = placed.where("root <> main").withColumn("other", every).select(
-            F.xxhash64("node", "block", "other").alias("node"), "vertex", "root",
-            F.lit(0).alias("side"),
-        )
-        blocks = placed.where("root <> main").select("node", F.col("block").alias("outer")).distinct()
-        inside = placed.join(blocks, "node").select(
-            F.xxhash64("node", "outer", "block").alias("node"), "vertex", "root",
-            F.lit(1).alias("side"),
-        )
-        self.compare_all(outside.unionByName(inside))
+        placed = nodes.select("node", "vertex", "root").join(facts, "node")
+
+        def cut(blocks: str, other: str, side: int) -> DataFrame:
+            own = F.pmod(F.xxhash64("vertex", F.lit(side)), F.col(blocks)).cast("int")
+            each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            cells = placed.select("*", own.alias("_own"), each.alias("_other"))
+            pair = ["_own", "_other"] if side == 0 else ["_other", "_own"]
+            return cells.where("root <> main" if side == 0 else "true").select(
+                F.xxhash64("node", *pair).alias("node"), "vertex", "root",
+                F.lit(side).alias("side"),
+            )
+
+        return cut("outer", "inner", 0).unionByName(cut("inner", "outer", 1))
+
+
+#: Columns of the matrix of shared shingles that are multiplied at a time.
+_COLUMNS = 4096
+
+
+def _ties(
+    sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, similarity: int
+) -> list[tuple[int, int]]:
+    """Links between sets of different labels, as many as tie the labels together.
+
+    Intersections are counted by a product of the matrix of sets and shared shingles.
+    """
+    sizes = np.array([len(one) for one in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, column, counts = np.unique(
+        np.concatenate(sets), return_inverse=True, return_counts=True
+    )
+    shared = np.cumsum(counts > 1) - 1
+    inside = counts[column] > 1
+    owner, column = owner[inside], shared[column[inside]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rows = np.flatnonzero(sides != 1)  # all, or side 0
+    others = np.flatnonzero(sides != 0)
+    common = np.zeros((len(rows), len(others)), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        low, high = np.searchsorted(column, [start, start + _COLUMNS])
+        matrix = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        matrix[owner[low:high], column[low:high] - start] = 1.0
+        common += matrix[rows] @ matrix[others].T
+    union = sizes[rows][:, None] + sizes[others] - common
+    linked = (100 * common >= similarity * union) & (labels[rows][:, None] != labels[others])
+    top = list(range(int(labels.max()) + 1))
+
+    def find(label: int) -> int:
+        while top[label] != label:
+            top[label] = top[top[label]]
+            label = top[label]
+        return label
+
+    ties = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = find(int(labels[rows[i]])), find(int(labels[others[j]]))
+        if a != b:
+            top[a] = b
+            ties.append((int(rows[i]), int(others[j])))
+    return ties
 
 
 def _value(position) -> F.Column:
@@ -395,33 +519,40 @@ def near_duplicates(
     )
     members = classes.select(F.explode(roots).alias("node"), "vertex")
     shared = members.groupBy("node").count().where("count > 1").select("node")
-    members = stage(members.join(shared, "node"), "members")
-    wanted = members.select(F.col("vertex").alias("id")).distinct()
-    sets = stage(
-        fetched_sets(docs, wanted, id_column, text_column).dropDuplicates(["id", "shingles"]),
-        "sets",
+    members = stage(members.join(bounded(stage(shared, "shared")), "node"), "members")
+    wanted = stage(members.select(F.col("vertex").alias("id")).distinct(), "wanted")
+    # A repeated row repeats its set, which adds nothing to what links with what.
+    sets = stage(fetched_sets(docs, wanted, id_column, text_column), "sets")
+    known = stage(
+        classes.select("vertex", "signature").join(
+            bounded(wanted.withColumnRenamed("id", "vertex")), "vertex", "left_semi"
+        ),
+        "signatures",
     )
-    join = _Join(classes.select("vertex", "signature"), sets, similarity)
+    join = _Join(known, sets, similarity)
     first = trees * branches
     width = (POSITIONS - first) // max(1, depth)
+    # Leaders come first: they tie groups of copies together before more is compared.
+    join.rows = members.count()
+    join.confirm(join.with_leaders(join.open_nodes(members), 0))
     for level in range(depth + 1):
-        for seed in range(2):
-            nodes = join.open_nodes(members)
-            if nodes.isEmpty():
-                break
-            members = nodes.select("node", "vertex")
-            join.compare_with_leaders(nodes, seed)
         nodes = join.open_nodes(members)
         if nodes.isEmpty():
             break
-        join.compare_all(
-            nodes.where(F.col("size") <= small_node).withColumn("side", F.lit(2))
-        )
-        nodes = join.open_nodes(nodes.where(F.col("size") > small_node).select("node", "vertex"))
+        small = F.col("size") <= small_node
+        join.grow(join.links_within(nodes.where(small).withColumn("side", F.lit(2))))
+        large = nodes.where(~small).select("node", "vertex")
+        join.confirm(join.with_leaders(join.open_nodes(large), 1))
+        nodes = join.open_nodes(large)
         if nodes.isEmpty():
             break
+        final = nodes
+        if level < depth:
+            dense = bounded(join.dense(nodes))
+            final = nodes.join(dense, "node", "left_semi")
+            nodes = nodes.join(dense, "node", "left_anti")
+        join.grow(join.links_within(join.in_blocks(final)))
         if level == depth:
-            join.compare_outsiders(nodes)
             break
         chosen = [
             F.lit(first + level * width) + F.pmod(F.xxhash64("node", F.lit(level)) + F.lit(b), width)
@@ -433,13 +564,14 @@ def near_duplicates(
         grown = nodes.join(join.classes, "vertex").select(
             F.explode(children).alias("node"), "vertex"
         )
+        grown = stage(grown, "children")
         shared = grown.groupBy("node").count().where("count > 1").select("node")
-        members = stage(grown.join(shared, "node"), "members")
+        members = stage(grown.join(bounded(stage(shared, "shared")), "node"), "members")
     named = classes.select("class", "vertex")
     if join.roots is not None:
         least = join.roots.groupBy("root").agg(F.min("vertex").alias("least"))
-        ends = join.roots.join(least, "root").select("vertex", "least")
-        named = named.join(ends, "vertex", "left")
+        ends = join.roots.join(bounded(least), "root").select("vertex", "least")
+        named = named.join(bounded(stage(ends, "ends")), "vertex", "left")
     else:
         named = named.withColumn("least", F.col("vertex"))
     named = named.select("class", F.coalesce("least", "vertex").alias("component_id"))
@@ -459,7 +591,7 @@ def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", **options) -
     """The rows of ``docs`` that ``near_duplicates`` keeps, one for each id, all columns.
 
     The ids that go are few beside the texts, so those are what is looked up, by broadcast
-    up to ``BROADCAST_IDS`` and by a shuffle beyond. Only rows whose id repeats are compared
+    if they are few and by a shuffle beyond. Only rows whose id repeats are compared
     with each other.
     """
     judged = stage(
@@ -470,11 +602,7 @@ def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", **options) -
     )
     gone = judged.where(~F.coalesce("kept", F.lit(True))).select("_id").distinct()
     again = judged.where("kept").groupBy("_id").count().where("count > 1").select("_id")
-
-    def few(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    gone, again = few(gone), few(again)
+    gone, again = bounded(gone), bounded(again)
     left = docs.join(gone, docs[id_column] == gone["_id"], "left_anti")
     once = left.join(again, left[id_column] == again["_id"], "left_anti")
     repeated = left.join(again, left[id_column] == again["_id"], "left_semi")
