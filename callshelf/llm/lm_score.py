@@ -158,7 +158,7 @@ def context_counts(grams: DataFrame, contexts: int = CONTEXTS) -> dict[int, np.n
         .select("order", "context")
     )
     # at most `contexts` contexts in each order
-    found = rows.join(F.broadcast(kept), ["order", "context"]).toPandas()
+    found = rows.join(F.broadcast(kept), ["order", "context"]).toArrow().to_pandas()
     found = found.sort_values(["order", "context", "next"])
     return {
         order: found.loc[found["order"] == order, ["context", "next", "n"]].to_numpy(np.int64)
