@@ -36,17 +36,22 @@ def start_ingest(
     checkpoint: str,
     *,
     trigger: dict[str, Any] | None = None,
+    compact_after: int | None = 100,
     **options: Any,
 ) -> StreamingQuery:
     """Each micro-batch is one run and one commit, so the result is that of batch runs in
     order of arrival. The catalog is the only state. A batch that is replayed after a
-    failure finds its number among the commits and changes nothing.
+    failure finds its number among the commits and changes nothing. Once more than
+    ``compact_after`` runs are to be read, they are folded into one, so the cost of a batch
+    does not grow with the number of batches.
     """
 
     def run(batch: DataFrame, batch_number: int) -> None:
         batch_id = f"{checkpoint}#{batch_number}"
         if not store.has_batch(batch_id):
             ingest(batch, store, batch_id=batch_id, **options).release()
+            if compact_after and len(store.runs()) > compact_after:
+                store.compact()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -41,6 +41,14 @@ def test_arrivals_are_taken_once(spark, store):
     assert store._versions() == [0, 1, 2, 3]
 
 
+def test_runs_are_folded(spark, store):
+    folder, checkpoint = scratch(spark, "in"), scratch(spark, "stream")
+    for name in "abc":
+        arrive(spark, folder, {f"/w/{name}.py": f'def {name}():\n    """D."""\n'})
+    fold(spark, folder, store, checkpoint, compact_after=2)
+    assert names(store) == {"a", "b", "c"} and len(store.runs()) <= 2
+
+
 def test_a_replayed_batch_changes_nothing(spark, store):
     folder, checkpoint = scratch(spark, "in"), scratch(spark, "stream")
     arrive(spark, folder, {"/w/a.py": 'def a():\n    """A."""\n    return 1\n'})
