@@ -24,51 +24,67 @@ SCALE = 256
 QUERY_EVERY = 50
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-#: Part of each list that is read between two looks at the bounds.
-ROUNDS = 16
+#: The bounds are looked at after each of so many parts of the lists.
+ROUNDS = 8
+#: Queries of a block whose bounds are held at a time.
+QUERY_BATCH = 128
 
 
 class SortedLists:
     """The lists of a block: candidates by value, ascending, for each dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best ``k``, best first."""
+        self.ids, self.vectors = ids, vectors
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, order, axis=0).T.astype(float)
+        # the place of each candidate in each list
+        self.places = np.argsort(order, axis=0, kind="stable")
+
+    def best(
+        self, query_ids: np.ndarray, queries: np.ndarray, k: int
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the best ``k`` other candidates, best first.
+
+        All queries read their lists to the same depth, from above where the weight is
+        positive and from below where it is negative, and look at their bounds there.
+        """
         n = len(self.ids)
-        others = self.ids != query_id
-        lists = np.flatnonzero(query)
-        ends = self.values[lists][:, [0, -1]] * query[lists, None]
-        top, bottom = ends.max(axis=1), ends.min(axis=1)
-        lower = np.full(n, bottom.sum(), dtype=np.int64)
-        unread = np.ones((len(lists), n))
-        # Bounds are sums of doubles. Where those are not exact, all is read.
-        exact = np.abs(ends.astype(float)).max(axis=1).sum() < 2**52
-        step = max(1, -(-n // ROUNDS))
-        candidates = others
-        for begin in range(0, n, step):
-            end = min(n, begin + step)
-            for turn, one in enumerate(lists):
-                part = slice(n - end, n - begin) if query[one] > 0 else slice(begin, end)
-                at, values = self.order[one, part], self.values[one, part]
-                lower[at] += values * query[one] - bottom[turn]
-                unread[turn, at] = 0.0
-                top[turn] = (values[0] if query[one] > 0 else values[-1]) * query[one]
-            known = lower[others]
-            if end < n and exact and len(known) >= k:
-                bar = np.partition(known, -k)[-k]
-                upper = lower + (top - bottom) @ unread
-                candidates = others & (upper >= bar)
-                if candidates.sum() <= max(4 * k, n // 64):
-                    break
-        chosen = np.flatnonzero(candidates)
-        final = self.vectors[chosen] @ query
-        first = np.lexsort((self.ids[chosen], -final))[:k]
-        return self.ids[chosen][first], final[first]
+        others = self.ids[:, None] != query_ids
+        above = np.maximum(queries, 0).astype(float)
+        below = np.minimum(queries, 0).astype(float)
+        low, high = self.values[:, 0], self.values[:, -1]
+        # Bounds are sums of doubles. Where those might not be exact, all is read.
+        largest = np.abs(queries).max(axis=0).astype(float) * np.maximum(np.abs(low), np.abs(high))
+        open_ = np.arange(len(query_ids)) if largest.sum() < 2**52 and n > k else np.arange(0)
+        left: dict[int, np.ndarray] = {}
+        vectors = self.vectors.astype(float)
+        for read in range(1, ROUNDS):
+            end = n * read // ROUNDS
+            if not len(open_) or not end:
+                continue
+            from_above, from_below = self.places >= n - end, self.places < end
+            seen = np.hstack([vectors * from_above, vectors * from_below])
+            unread = np.hstack([~from_above, ~from_below]).astype(float)
+            up, down = above[open_], below[open_]
+            known = seen @ np.hstack([up, down]).T
+            last = np.hstack([up * self.values[:, n - end], down * self.values[:, end - 1]])
+            upper = known + unread @ last.T
+            lower = known + unread @ np.hstack([up * low, down * high]).T
+            apart = others[:, open_]
+            bar = np.partition(np.where(apart, lower, -np.inf), n - k, axis=0)[n - k]
+            reach = (upper >= bar) & apart
+            done = reach.sum(axis=0) <= max(4 * k, n // 64)
+            for i in np.flatnonzero(done):
+                left[int(open_[i])] = np.flatnonzero(reach[:, i])
+            open_ = open_[~done]
+        found = []
+        for i, query in enumerate(queries):
+            chosen = left.get(i)
+            chosen = np.flatnonzero(others[:, i]) if chosen is None else chosen
+            final = self.vectors[chosen] @ query
+            first = np.lexsort((self.ids[chosen], -final))[:k]
+            found.append((self.ids[chosen][first], final[first]))
+        return found
 
 
 def integer_vectors(vectors: DataFrame, vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -129,9 +145,13 @@ def top_k(
         found = [pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "vec_id", "score")})]
         if len(asking) and len(asked):
             lists = SortedLists(asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()))
-            for query_id, query in zip(asking["vec_id"].to_numpy(), asking["v"]):
-                ids, scores = lists.best(query_id, np.asarray(query), k)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
+            query_ids, queries = asking["vec_id"].to_numpy(), np.stack(asking["v"].to_numpy())
+            for start in range(0, len(query_ids), QUERY_BATCH):
+                batch = slice(start, start + QUERY_BATCH)
+                best = lists.best(query_ids[batch], queries[batch], k)
+                for query_id, (ids, scores) in zip(query_ids[batch], best):
+                    rows = {"query_id": query_id, "vec_id": ids, "score": scores}
+                    found.append(pd.DataFrame(rows))
         return pd.concat(found)
 
     keys = ("q", "c", "dims")
