@@ -117,4 +117,30 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_topk": _OP3, "op6_url_filter": _OP6}
+_OP5 = r"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (
+        SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
+        FROM split WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT x, y FROM common JOIN sizes i ON i.doc_id = x JOIN sizes j ON j.doc_id = y
+    WHERE 100 * c >= 75 * (i.n + j.n - c)
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents
+    UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(y) AS component_id, x = min(y) AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = x GROUP BY x
+"""
+
+ORACLES: dict[str, str] = {"op3_topk": _OP3, "op5_near_dedup": _OP5, "op6_url_filter": _OP6}
