@@ -7,6 +7,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from callshelf.plans.oracles import ORACLES
+from callshelf.plans.queries import QUERIES
 from check import compare, duck
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -18,14 +20,14 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLES.items() <= contract.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    problem = compare(
-        spark, connection, SF_DIR, contract.queries()[name], contract.oracle_sql()[name]
-    )
+    problem = compare(spark, connection, SF_DIR, QUERIES[name], ORACLES[name])
     assert problem is None, problem
 
 
