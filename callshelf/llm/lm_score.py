@@ -7,10 +7,14 @@ there) leads to the next shorter context, where the symbols of the longer one ar
 excluded. Below the empty context all symbols left are alike. Texts begin with start marks
 and end with an end symbol, so the probabilities of all texts sum to 1.
 
-Counts cover all training texts and are summed by Spark. The trie keeps the contexts that
-hold at least ``1 / CONTEXTS`` of all training symbols, so every order has at most
-``CONTEXTS`` of them however large the corpus is: that bounds what is broadcast. From
-the trie each task builds tables of all steps between contexts and of all log-probabilities.
+Counts cover all training texts, are summed by Spark, and all of them are used. The trie that
+is broadcast has the contexts that hold at least ``1 / CONTEXTS`` of all training symbols, so
+every order has at most ``CONTEXTS`` of them however large the corpus is. From the trie each
+task builds tables of all steps between contexts and of all log-probabilities. Where a rarer
+context may apply, the task hands on the window of ``ORDER`` + 1 symbols with the rows it
+stands in, and the log-probability of each distinct window comes by a join: from its own
+context if the window occurs in training, else from the rarer contexts it ends in and, below
+them, the trie.
 
 Beside it stands a unigram score over words. Its vocabulary grows with the corpus, so only
 the words that hold at least ``1 / HOT_WORDS`` of all tokens (at most that many) are
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ HOT_WORDS = 1 << 17
 SMOOTHING = 0.1
 #: Entries of a task's partial counts before they are handed on.
 PARTIAL_ENTRIES = 400_000
+#: Places that need a look-up before a task hands them on.
+PARTIAL_PLACES = 2_000_000
 
 SYMBOLS = 257
 END = 256
@@ -130,8 +136,8 @@ def count_words(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def context_counts(grams: DataFrame, contexts: int = CONTEXTS) -> dict[int, np.ndarray]:
-    """By order: rows ``(context, next, n)`` of the kept contexts, sorted."""
+def context_table(grams: DataFrame) -> DataFrame:
+    """``(order, context, total, nexts)`` of all contexts, a table; ``nexts`` are ``(next, n)``."""
     history = F.floor(F.col("gram") / SYMBOLS)
     by_order = F.array(
         *[
@@ -142,24 +148,28 @@ def context_counts(grams: DataFrame, contexts: int = CONTEXTS) -> dict[int, np.n
             for order in range(ORDER + 1)
         ]
     )
-    rows = stage(
+    rows = (
         grams.select(
             F.explode(by_order).alias("c"), F.pmod("gram", F.lit(SYMBOLS)).alias("next"), "n"
         )
         .groupBy("c.order", "c.context", "next")
-        .agg(F.sum("n").alias("n")),
+        .agg(F.sum("n").alias("n"))
+    )
+    # at most SYMBOLS entries in each context
+    return stage(
+        rows.groupBy("order", "context").agg(
+            F.sum("n").alias("total"), F.collect_list(F.struct("next", "n")).alias("nexts")
+        ),
         "contexts",
     )
-    total = rows.where("order = 0").agg(F.sum("n")).first()[0] or 0
-    kept = (
-        rows.groupBy("order", "context")
-        .agg(F.sum("n").alias("all"))
-        .where(F.col("all") * contexts >= total)
-        .select("order", "context")
+
+
+def kept_counts(kept: DataFrame) -> dict[int, np.ndarray]:
+    """By order: rows ``(context, next, n)`` of the contexts of the trie, sorted."""
+    found = kept.select("order", "context", F.explode("nexts").alias("e")).select(
+        "order", "context", "e.next", "e.n"
     )
-    # at most `contexts` contexts in each order
-    found = rows.join(F.broadcast(kept), ["order", "context"]).toArrow().to_pandas()
-    found = found.sort_values(["order", "context", "next"])
+    found = found.toArrow().to_pandas().sort_values(["order", "context", "next"])
     return {
         order: found.loc[found["order"] == order, ["context", "next", "n"]].to_numpy(np.int64)
         for order in range(ORDER + 1)
@@ -172,7 +182,10 @@ class Automaton:
     Symbols that were never seen are alike everywhere and share the last column.
     """
 
-    def __init__(self, counts: dict[int, np.ndarray], order: int = ORDER) -> None:
+    def __init__(
+        self, counts: dict[int, np.ndarray], order: int = ORDER, cut: frozenset[int] = frozenset()
+    ) -> None:
+        """``cut`` are the orders of which some contexts are not in ``counts``."""
         levels = [np.unique(counts[k][:, 0]) for k in range(order + 1)]
         if not len(levels[0]):  # nothing was learned
             levels[0] = np.zeros(1, dtype=np.int64)
@@ -181,6 +194,7 @@ class Automaton:
         self.column = np.full(SYMBOLS, len(known), dtype=np.int32)
         self.column[known] = np.arange(len(known))
         firsts = np.cumsum([0, *map(len, levels)])
+        self.firsts = firsts[:-1]
         following = np.zeros((int(firsts[-1]), self.width), dtype=np.int32)
         logs = np.zeros((int(firsts[-1]), self.width), dtype=np.float32)
         rest_above = n_above = None
@@ -214,6 +228,8 @@ class Automaton:
             following[here] = steps
             rest_above, n_above = rest, n
         self.following, self.logs = following.ravel(), logs.ravel()
+        # where a context one longer may exist that is not here
+        self.open = np.repeat([k + 1 in cut for k in range(order + 1)], [*map(len, levels)])
 
     @staticmethod
     def _predicted(n: np.ndarray, all_n: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -234,8 +250,13 @@ class Automaton:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """log10 probability of each text, its end included."""
+        return self.walked(texts)[0]
+
+    def walked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text without its open places, and of each of these the
+        window of ``order`` + 1 symbols and the number of its text."""
         if not texts:
-            return np.empty(0)
+            return np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
         symbols, begins = symbols_of(texts)
         columns = self.column[symbols]
         state = np.zeros(len(symbols) - self.order, dtype=np.int32)
@@ -244,8 +265,41 @@ class Automaton:
             state = self.following[state * self.width + passed]
         logs = np.zeros(len(symbols))
         logs[self.order :] = self.logs[state * self.width + columns[self.order :]]
-        logs[(begins[:, None] - np.arange(1, self.order + 1)).ravel()] = 0.0
-        return np.add.reduceat(logs, begins)
+        marks = (begins[:, None] - np.arange(1, self.order + 1)).ravel()
+        logs[marks] = 0.0
+        is_open = np.zeros(len(symbols), dtype=bool)
+        is_open[self.order :] = self.open[state]
+        is_open[marks] = False
+        places = np.flatnonzero(is_open)
+        logs[places] = 0.0
+        grams = np.zeros(len(places), dtype=np.int64)
+        for back in range(self.order, -1, -1):
+            grams = grams * SYMBOLS + symbols[places - back]
+        rows = np.searchsorted(begins, places, "right") - 1
+        return np.add.reduceat(logs, begins), grams, rows
+
+    def order_after(self, gram: int) -> int:
+        """The order of the longest context here that the last symbol of a window stands in."""
+        state = 0
+        for back in range(self.order, 0, -1):
+            symbol = gram // SYMBOLS**back % SYMBOLS
+            state = int(self.following[state * self.width + self.column[symbol]])
+        return int(np.searchsorted(self.firsts, state, "right")) - 1
+
+
+def predicted_log(symbol: int, contexts: Iterator[dict[int, int]]) -> float:
+    """log10 probability of a symbol from the counts in its contexts, the longest first."""
+    reached, above = 1.0, {}
+    for counts in contexts:
+        given = 0.0 if len(counts) == SYMBOLS else 0.5
+        left = [n for other, n in counts.items() if other not in above]
+        total = sum(left)
+        if symbol in counts:
+            return float(np.log10(reached) + np.log10((counts[symbol] - given) / total))
+        if total:
+            reached *= given * len(left) / total
+        above = counts
+    return float(np.log10(reached / max(1, SYMBOLS - len(above))))
 
 
 _automata: dict[str, Automaton] = {}
@@ -255,10 +309,67 @@ def _automaton(name: str, model: Broadcast) -> Automaton:
     """One set of tables at a time in each Python worker."""
     if name not in _automata:
         _automata.clear()
-        _automata[name] = Automaton(model.value)
+        counts, cut = model.value
+        _automata[name] = Automaton(counts, cut=cut)
     return _automata[name]
 
 
+def window_logs(windows: DataFrame, rare: DataFrame, name: str, model: Broadcast) -> DataFrame:
+    """``(gram, log)`` of distinct windows ``(gram)`` that do not occur in training.
+
+    ``rare`` are the contexts that the model does not have.
+    """
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, model)
+        for batch in batches:
+            grams, orders = [], []
+            for gram in batch.column(0).to_pylist():
+                more = range(automaton.order_after(gram) + 1, ORDER + 1)
+                grams += [gram] * len(more)
+                orders += more
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams, pa.int64()), pa.array(orders, pa.int32())], ["gram", "order"]
+            )
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = model.value[0]
+        cache: dict[tuple[int, int], dict[int, int]] = {}
+
+        def kept(order: int, context: int) -> dict[int, int]:
+            if (order, context) not in cache:
+                rows = counts[order]
+                begin, end = np.searchsorted(rows[:, 0], [context, context + 1])
+                cache[order, context] = dict(rows[begin:end, 1:].tolist())
+            return cache[order, context]
+
+        def contexts_of(gram: int, found: list) -> Iterator[dict[int, int]]:
+            own = {c["order"]: {e["next"]: e["n"] for e in c["nexts"]} for c in found or ()}
+            for order in range(ORDER, -1, -1):
+                known = own.get(order) or kept(order, gram // SYMBOLS % SYMBOLS**order)
+                if known:
+                    yield known
+
+        for batch in batches:
+            grams = batch.column(0).to_pylist()
+            found = batch.column(1).to_pylist()
+            values = [predicted_log(g % SYMBOLS, contexts_of(g, c)) for g, c in zip(grams, found)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(values, pa.float64())], ["gram", "log"]
+            )
+
+    # Spark's powers are doubles, exact up to 257**5
+    context = F.pmod(F.floor(F.col("gram") / SYMBOLS), F.pow(F.lit(SYMBOLS), "order").cast("bigint"))
+    found = (
+        windows.mapInArrow(longer, "gram bigint, order int")
+        .withColumn("context", context)
+        .join(rare.select("order", "context", "nexts"), ["order", "context"])
+        .groupBy("gram")
+        .agg(F.collect_list(F.struct("order", "nexts")).alias("found"))  # at most ORDER
+    )
+    return windows.join(found, "gram", "left").mapInArrow(logs, "gram bigint, log double")
+
+
 def score_documents(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
     contexts: int = CONTEXTS, hot_words: int = HOT_WORDS,
@@ -281,16 +392,54 @@ def score_documents(
     bottom = float(np.log10(total + SMOOTHING * (distinct + 1)))
     hot = words.where(F.col("c") * hot_words >= total).collect() if total else []
     hot_shared = spark.sparkContext.broadcast({bytes(row["word"]): row["c"] for row in hot})
-    model = spark.sparkContext.broadcast(context_counts(count_grams(training), contexts))
+    table = context_table(count_grams(training))
+    symbols = table.where("order = 0").agg(F.sum("total")).first()[0] or 0
+    is_rare = F.col("total") * F.lit(contexts) < symbols
+    rare = table.where(is_rare)
+    cut = frozenset(row["order"] for row in rare.select("order").distinct().collect())
+    model = spark.sparkContext.broadcast((kept_counts(table.where(~is_rare)), cut))
     end_log = float(np.log10(ends + SMOOTHING))
     name = uuid.uuid4().hex
 
+    kind = narrow.schema["id"].dataType.simpleString()
+    fields = (
+        f"id {kind}, n_tokens bigint, hot_known bigint, hot_sum double, score double,"
+        " tail array<struct<word:binary,n:bigint>>, row bigint,"
+        " gram bigint, held boolean, first bigint, places array<int>"
+    )
+    marked = narrow.select("id", "text", held_out(F.col("id")).alias("held"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(name, model)
         counts = hot_shared.value
         logs = {word: float(np.log10(c + SMOOTHING)) for word, c in counts.items()}
         known_word = logs.get
+        first, passed = TaskContext.get().partitionId() << 33, 0
+        open_grams, open_rows, held_rows, waiting = [], [], [], 0
+        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        kinds = [None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type, pa.int64()]
+        kinds += [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32())]
+        names = "id n_tokens hot_known hot_sum score tail row gram held first places".split()
+
+        def of_windows() -> pa.RecordBatch:
+            """Each distinct window of the waiting places, with the rows of its places."""
+            grams, rows = np.concatenate(open_grams), np.concatenate(open_rows)
+            held = np.concatenate(held_rows)
+            by_gram = np.argsort(grams, kind="stable")
+            grams, rows, held = grams[by_gram], rows[by_gram], held[by_gram]
+            begins = np.flatnonzero(np.diff(grams, prepend=-1))
+            ends = np.append(begins, len(grams)).astype(np.int32)
+            n = len(begins)
+            columns = [pa.nulls(n, kind) for kind in kinds[:7]] + [
+                pa.array(grams[begins]),
+                pa.array(np.logical_or.reduceat(held, begins)),
+                pa.array(np.full(n, first)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.astype(np.int32))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in text_slices(batches):
+            kinds[0] = batch.schema.field(0).type
             texts = texts_of(batch)
             n_tokens, n_known, sums, tails = [], [], [], []
             for text in texts:
@@ -302,30 +451,30 @@ def score_documents(
                 n_known.append(len(tokens) - in_tail + bool(ends))
                 sums.append(sum(filter(None, found)) + end_log)
                 tails.append([{"word": word, "n": n} for word, n in tail.items()])
+            scores, grams, rows = automaton.walked(texts)
+            own = [
+                n_tokens, n_known, sums, scores, tails, first + passed + np.arange(len(texts))
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(n_known, pa.int64()),
-                    pa.array(sums, pa.float64()),
-                    pa.array(automaton.scores(texts), pa.float64()),
-                    pa.array(
-                        tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-                    ),
-                ],
-                ["id", "n_tokens", "hot_known", "hot_sum", "score", "tail"],
+                [batch.column(0)]
+                + [pa.array(values, kind) for values, kind in zip(own, kinds[1:7])]
+                + [pa.nulls(len(texts), kind) for kind in kinds[7:]],
+                names,
             )
-
-    kind = narrow.schema["id"].dataType.simpleString()
-    rows = stage(
-        narrow.mapInArrow(
-            run,
-            f"id {kind}, n_tokens bigint, hot_known bigint, hot_sum double, score double,"
-            " tail array<struct<word:binary,n:bigint>>",
-        ).withColumn("row", F.monotonically_increasing_id()),
-        "scored",
-    )
-    # Each row has a number of its own in the staged table, so repeated rows stay apart.
+            if len(grams):
+                open_grams.append(grams)
+                open_rows.append(rows + passed)
+                held_rows.append(np.asarray(batch.column(2))[rows])
+                waiting += len(grams)
+            passed += len(texts)
+            if waiting > PARTIAL_PLACES:
+                yield of_windows()
+                open_grams, open_rows, held_rows, waiting = [], [], [], 0
+        if waiting:
+            yield of_windows()
+
+    both = stage(marked.mapInArrow(run, fields), "scored")
+    rows = both.where("row is not null").drop("gram", "held", "first", "places")
     count = F.coalesce("c", F.lit(0))
     tail = (
         rows.select("row", F.explode("tail").alias("t"))
@@ -337,8 +486,35 @@ def score_documents(
             F.sum(F.col("n") * F.log10(count + SMOOTHING)).alias("sum"),
         )
     )
+    result = rows.drop("tail").join(tail, "row", "left")
+    if cut:
+        given = F.when(F.size("nexts") == SYMBOLS, 0.0).otherwise(0.5)
+        learned = (
+            rare.where(F.col("order") == ORDER)
+            .select("context", "total", given.alias("given"), F.explode("nexts").alias("e"))
+            .select(
+                (F.col("context") * SYMBOLS + F.col("e.next")).alias("gram"),
+                F.log10((F.col("e.n") - F.col("given")) / F.col("total")).alias("log"),
+            )
+        )
+        windows = both.where("gram is not null").select("gram", "held", "first", "places")
+        # only texts held out have windows that were not learned
+        novel = stage(
+            windows.where("held").select("gram").distinct().join(learned, "gram", "left_anti"),
+            "windows",
+        )
+        more = stage(window_logs(novel, rare, name, model), "windows")
+        looked_up = (
+            windows.join(learned.unionByName(more), "gram")
+            .select("first", F.explode("places").alias("place"), "log")
+            .groupBy((F.col("first") + F.col("place")).alias("row"))
+            .agg(F.sum("log").alias("rest"))
+        )
+        result = result.join(looked_up, "row", "left")
+    else:
+        result = result.withColumn("rest", F.lit(0.0))
     none = F.lit(0)
-    return rows.drop("tail").join(tail, "row", "left").select(
+    return result.select(
         F.col("id").alias(id_column),
         held_out(F.col("id")).alias("held_out"),
         "n_tokens",
@@ -347,5 +523,5 @@ def score_documents(
         (
             F.col("hot_sum") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(bottom)
         ).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -134,6 +134,28 @@ def test_ppm_against_brute_force(documents):
         assert row.score == pytest.approx(brute_ppm(train, text, lm_score.ORDER), rel=1e-5)
 
 
+@pytest.mark.parametrize("contexts", [3, 50, 1000])
+def test_ppm_uses_contexts_outside_the_trie(documents, contexts):
+    rows = texts(5, 60, 1, 15) + [None, "", "ÜX", "zz Zz zz", "aaaaaaaaaaaa", "日本 \x00"] * 3
+    got = lm_score.score_documents(documents(rows), contexts=contexts).toPandas()
+    own = [(t or "").encode() for t in rows]
+    train = [t for i, t in enumerate(own) if zlib.crc32(str(i).encode()) % 10]
+    assert len(got) == len(rows) and got["held_out"].any()
+    for row in got.itertuples():
+        assert row.score == pytest.approx(brute_ppm(train, own[row.doc_id], lm_score.ORDER), rel=1e-5)
+
+
+def test_ppm_with_default_parameters_on_many_symbols(documents):
+    rng = random.Random(6)
+    rows = ["".join(rng.choices("abcdefghijklmnop ", k=4_000)) for _ in range(60)]
+    got = lm_score.score_documents(documents(rows)).toPandas().set_index("doc_id")
+    train = [t.encode() for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 10]
+    assert sum(map(len, train)) > lm_score.CONTEXTS and got["held_out"].any()
+    held = int(got.index[got["held_out"]][0])
+    for i in (held, 0 if held else 1):
+        assert got["score"][i] == pytest.approx(brute_ppm(train, rows[i].encode(), lm_score.ORDER), rel=1e-5)
+
+
 @pytest.mark.parametrize("contexts", [3, 100, 1 << 40])
 def test_ppm_probabilities_sum_to_one(contexts):
     grams, n = lm_score.gram_counts(texts(4, 30))
