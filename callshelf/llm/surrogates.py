@@ -7,6 +7,10 @@ the script and case for letters, a valid check digit in card numbers (and any in
 numbers), reserved domains in addresses, and names of the title's gender. Given and family names are entities of their
 own, so ``Mr. Smith`` is still the ``Mr. John Smith`` of before.
 
+Names are found behind titles; wherever else their words stand in the same text, before or
+after, they get the same surrogates. A word that is a family and a given name in one text
+reads as the family name there, and one of several genders as female, male, neutral.
+
 Collision checks: of values that got one surrogate all but one try again, and so do those
 whose surrogate occurs among the values. From ``WIDER`` attempts on surrogates grow, so that
 small formats cannot run out of room.
@@ -25,7 +29,14 @@ MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "г-жа")
 NEUTRAL_TITLES = ("Dr", "Prof")
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *NEUTRAL_TITLES))
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_PARTICLES = "van|von|zu|zum|zur|de|der|den|des|del|della|di|da|do|dos|du|la|le|ten|ter|bin|ibn|al|el"
+# A word of two letters or more, no title; quantifiers do not give back, so it ends where its letters do.
+_WORD = (
+    rf"(?!(?:{_TITLES})(?![\p{{L}}\p{{M}}]))(?=\p{{Lu}}['’-]?[\p{{L}}\p{{M}}])"
+    r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{Lu}[\p{L}\p{M}]*+)*+"
+)
+_BEFORE = rf"(?:(?:(?:\p{{Lu}}\.)+|{_PARTICLES}) )*"
+_NAMES = rf"{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD})*"
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 SECRET = (
@@ -42,16 +53,19 @@ PHONE = (
 )
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}.+-])\d(?:[ -]?\d){12,18}(?![\p{N}])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? )+{_NAMES}"
 #: In order of preference where two begin at one place.
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, PHONE, SSN, CARD, NAME))
 
 #: What every match has in it. Much cheaper to search for, and most texts do not have it.
 HINT = (
     r"@|\+\d|\d[\d.() -]{5,}\d|[0-9a-fA-F]{32}|(?i:token|secret|password|api_?key) ?[=:]"
-    rf"|(?:{_TITLES})\.? \p{{Lu}}"
+    rf"|(?:{_TITLES})\.? (?:\p{{Lu}}|(?:{_PARTICLES}) )"
 )
 
+#: In order of preference for a name without a title.
+_NAME_KINDS = ("family", "given_f", "given_m", "given_n")
+
 WIDER = 6
 MOST_ATTEMPTS = 40
 
@@ -108,12 +122,27 @@ def _gender(match: Column) -> Column:
     )
 
 
-def _name_parts(match: Column) -> tuple[Column, Column, Column]:
-    """Title with the blank behind it, given name (or empty), family name."""
-    title = F.regexp_extract(match, rf"^((?:{_TITLES})\.? )", 1)
-    names = F.split(F.substr(match, F.length(title) + 1), " ")
-    given = F.when(F.size(names) > 1, names[0]).otherwise("")
-    return title, given, F.element_at(names, -1)
+def _name_parts(match: Column) -> tuple[Column, Column]:
+    """Titles with the blank behind them, and what follows: given names, initials (``J.``)
+    and particles, the family name last."""
+    title = F.regexp_extract(match, rf"^((?:(?:{_TITLES})\.? )+)", 1)
+    return title, F.split(F.substr(match, F.length(title) + 1), " ")
+
+
+def _name_words(match: Column) -> Column:
+    """The words of a match that are names wherever they stand; none of other matches."""
+    words = F.filter(_name_parts(match)[1], lambda x: x.rlike(r"^\p{Lu}[^.]*$"))
+    return F.when(kind_of(match) == "name", words).otherwise(F.array().cast("array<string>"))
+
+
+def _with_names(names: Column) -> Column:
+    """The pattern of a text that has these names: its entities, and the names by themselves."""
+    longest = F.reverse(F.array_sort(F.transform(names, lambda x: F.struct(F.length(x), x.alias("x")))))
+    return F.concat(
+        F.lit(PATTERN + r"|(?<![\p{L}\p{M}\p{N}])(?:"),
+        F.array_join(F.transform(longest, lambda x: x["x"]), "|"),
+        F.lit(r")(?![\p{L}\p{M}\p{N}])"),
+    )
 
 
 def _entity(kind, value) -> Column:
@@ -124,13 +153,19 @@ def _entity(kind, value) -> Column:
 def entities_of(match: Column) -> Column:
     """The entities of a match, as an array of (kind, value)."""
     kind = kind_of(match)
-    _, given, family = _name_parts(match)
-    name = F.when(
-        given != "",
-        F.array(
-            _entity(F.concat(F.lit("given_"), _gender(match)), given), _entity("family", family)
+    parts = _name_parts(match)[1]
+    name = F.filter(
+        F.transform(
+            parts,
+            lambda x, i: _entity(
+                F.when(i == F.size(parts) - 1, "family").otherwise(
+                    F.concat(F.lit("given_"), _gender(match))
+                ),
+                x,
+            ),
         ),
-    ).otherwise(F.array(_entity("family", family)))
+        lambda e: e["value"].rlike(r"^\p{Lu}"),
+    )
     value = F.when(kind == "email", F.lower(match)).otherwise(match)
     return (
         F.when(kind == "name", name)
@@ -316,6 +351,7 @@ def replace_entities(
     empty result. Other columns' names do not matter.
     """
     found_name, map_name = free_name(docs, "_found"), free_name(docs, "_map")
+    names_name, places_name = free_name(docs, "_names"), free_name(docs, "_places")
     hash_name, total = free_name(docs, "_hash"), count_column or free_name(docs, "_total")
     text = F.col(text_column)
     # Evaluated from left to right: only hinted texts are searched for entities.
@@ -324,6 +360,16 @@ def replace_entities(
     touched = stage(
         docs.where(has)
         .withColumn(found_name, _all_of(text))
+        .withColumn(
+            names_name, F.array_distinct(F.flatten(F.transform(F.col(found_name), _name_words)))
+        )
+        .withColumn(
+            places_name,
+            F.when(
+                F.size(names_name) > 0,
+                F.regexp_extract_all(text, _with_names(F.col(names_name)), F.lit(0)),
+            ).otherwise(F.col(found_name)),
+        )
         .withColumn(hash_name, F.xxhash64(text_column)),
         "touched",
     )
@@ -356,28 +402,45 @@ def replace_entities(
             return F.element_at(F.col(map_name), F.concat_ws("\x1f", kind, value))
 
         kind = kind_of(match)
-        title, given, family = _name_parts(match)
+        title, names = _name_parts(match)
         given_kind = F.concat(F.lit("given_"), _gender(match))
-        name = F.concat(
-            title,
-            F.when(given != "", F.concat(known(given_kind, given), F.lit(" "))).otherwise(""),
-            known("family", family),
-        )
+
+        def named(part: Column, place: Column) -> Column:
+            new = F.when(place == F.size(names) - 1, known("family", part)).otherwise(
+                known(given_kind, part)
+            )
+            initial = F.regexp_replace(part, r"\p{Lu}", F.substr(new, F.lit(1), F.lit(1)))
+            return (
+                F.when(~part.rlike(r"^\p{Lu}"), part).when(part.endswith("."), initial)
+                .otherwise(new)
+            )
+
+        name = F.concat(title, F.array_join(F.transform(names, named), " "))
+        alone = F.coalesce(*(known(kind, match) for kind in _NAME_KINDS))
         email = known("email", F.lower(match))
         email = F.when(match == F.upper(match), F.upper(email)).otherwise(email)
         return (
-            F.when(kind == "name", name).when(kind == "email", email)
+            F.when(F.array_contains(names_name, match), alone)
+            .when(kind == "name", name).when(kind == "email", email)
             .when(kind.isNotNull(), known(kind, match)).otherwise(match)
         )
 
-    pieces = F.split(F.col(text_column), PATTERN, -1)
+    pieces = F.when(
+        F.size(names_name) > 0,
+        F.split(F.col(text_column), _with_names(F.col(names_name)), F.lit(-1)),
+    ).otherwise(F.split(F.col(text_column), PATTERN, -1))
     parts = F.transform(
-        F.arrays_zip(pieces.alias("a"), F.transform(F.col(found_name), written).alias("b")),
+        F.arrays_zip(pieces.alias("a"), F.transform(F.col(places_name), written).alias("b")),
         lambda pair: F.concat(pair["a"], F.coalesce(pair["b"], F.lit(""))),
     )
     replaced = joined.withColumn(
         total,
-        F.size(F.filter(F.col(found_name), lambda m: kind_of(m).isNotNull())).cast("bigint"),
+        F.size(
+            F.filter(
+                F.col(places_name),
+                lambda m: F.array_contains(names_name, m) | kind_of(m).isNotNull(),
+            )
+        ).cast("bigint"),
     ).withColumn(text_column, F.array_join(parts, ""))
     result = plain.unionByName(replaced.select(*plain.columns))
     return result if count_column else result.drop(total)

@@ -505,3 +505,32 @@ def test_surrogates_keep_format_identity_and_the_rest(documents):
     assert other.columns == documents(rows).columns
     assert other.where("doc_id = 0").first()["text"] != new[0]
     assert surrogates.replace_entities(documents([]), "key").count() == 0
+
+
+def test_surrogates_of_whole_names_and_of_names_without_titles(documents):
+    rows = [
+        "John came. Mr. John Smith spoke; Smith said so. John Smith's hat, Smithson, Johnny.",
+        "Dr. Mary Jane Watson met Mr. McDonald, Mr. O'Brien and Prof. Dr. Lee Smith-Jones; O'Brien, Jane.",
+        "Mr. J. R. Tolkien and Herr Ludwig van Beethoven: Tolkien, Beethoven. Mr. Washingtonian: Washingtonian",
+        "Smith and John without a title",
+    ]
+    got = surrogates.replace_entities(documents(rows), "key", count_column="n").toPandas()
+    got = got.set_index("doc_id").sort_index()
+    new = got["text"]
+    one = re.fullmatch(
+        r"(\w+) came\. Mr\. (\w+) (\w+) spoke; (\w+) said so\. (\w+) (\w+)'s hat, Smithson, Johnny\.",
+        new[0],
+    )
+    assert one and one[1] == one[2] == one[5] != "John" and one[3] == one[4] == one[6] != "Smith"
+    real = "Mary Jane Watson Donald Brien Lee Smith Jones Tolkien Ludwig Beethoven Washington J. R.".split()
+    assert not [name for name in real if name in new[1] + new[2]]
+    two = re.fullmatch(
+        r"Dr\. (\w+) (\w+) \w+ met Mr\. \w+, Mr\. (\w+) and Prof\. Dr\. \w+ \w+; (\w+), (\w+)\.", new[1]
+    )
+    assert two and two[3] == two[4] and two[2] == two[5]
+    three = re.fullmatch(
+        r"Mr\. \w\. \w\. (\w+) and Herr \w+ van (\w+): (\w+), (\w+)\. Mr\. (\w+): (\w+)", new[2]
+    )
+    assert three and three[1] == three[3] and three[2] == three[4] and three[5] == three[6]
+    assert new[3] == rows[3]  # names are known within their text only
+    assert got["n"].tolist() == [5, 6, 6, 0]
