@@ -85,5 +85,11 @@ def test_constraints(spark):
         "source_code string, type string"
     )
     df = spark.createDataFrame([(i, *c[0]) for i, c in enumerate(cases)], schema)
-    got = dict(df.select("n", constraint_error().alias("e")).collect())
+    got = dict(df.select("n", constraint_error(text_max_bytes=65535).alias("e")).collect())
     assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
+    # without a stated limit texts may have any size; the other rules stay
+    unlimited = dict(df.select("n", constraint_error().alias("e")).collect())
+    sized = {i for i, c in enumerate(cases) if c[1] and c[1].startswith("Data too long") and i != 3}
+    assert [unlimited[i] for i in range(len(cases))] == [
+        None if i in sized else c[1] for i, c in enumerate(cases)
+    ]
