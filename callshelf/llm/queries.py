@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callshelf.llm.bpe import round_trip_digests
 from callshelf.llm.common import table
@@ -12,6 +13,7 @@ from callshelf.llm.lm_score import score_documents as lm_score_documents
 from callshelf.llm.near_dedup import near_duplicates
 from callshelf.llm.packing import pack_documents
 from callshelf.llm.quality import quality_report
+from callshelf.llm.secrets import find_secrets, span_text
 from callshelf.llm.sharding import shard_documents
 from callshelf.llm.surrogates import replace_entities
 from callshelf.llm.topk import top_k
@@ -71,6 +73,25 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "text", "n_replaced")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter(spans, lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(spans).alias("spans"),
+        count("entropy").alias("n_entropy"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     name: query for name, query in list(globals().items()) if name.startswith("op")
 }
