@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callshelf.llm.bpe import round_trip_digests
 from callshelf.llm.common import table
 from callshelf.llm.conv_trie import conversation_trie
+from callshelf.llm.merkle import merkle_manifest
 from callshelf.llm.lm_score import score_documents as lm_score_documents
 from callshelf.llm.near_dedup import near_duplicates
 from callshelf.llm.packing import pack_documents
@@ -97,6 +98,10 @@ def op12_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     name: query for name, query in list(globals().items()) if name.startswith("op")
 }
