@@ -14,6 +14,7 @@ from callshelf.operators import report
 from callshelf.operators.entries import annotate, catalog_entries, file_errors
 from callshelf.operators.extract import extract_callables
 from callshelf.operators.outcomes import POSITION, resolve_outcomes
+from callshelf.operators.nouns import NounModel, non_nouns
 from callshelf.operators.tags import without_words
 from callshelf.operators.upsert import codes_changes, metadata_changes
 from callshelf.session import release, scratch, stage_at
@@ -52,14 +53,15 @@ def ingest(
     extract: Callable[[DataFrame], DataFrame] = extract_callables,
     tag_options: dict[str, Any] | None = None,
     limits: dict[str, int] | None = None,
-    words: DataFrame | None = None,
+    words: DataFrame | NounModel | None = None,
 ) -> IngestRun:
     """Take ``sources(path, content[, read_error, arrival])`` into the catalog.
 
     Entries are decided in order of arrival (a text; rows without one come first), path,
     content hash and line, so several versions of a path count as if they had come in
     separate runs in that order, and every entry has one place. ``words(word)`` are left out
-    of the tags.
+    of the tags; a ``NounModel`` (``callshelf.operators.nouns.learn``) leaves out the tags it
+    calls no noun.
 
     Two tables are staged: the annotated callables (parsing and hashing run once) and the
     narrow outcomes. All that follows reads the few columns it needs of them.
@@ -98,6 +100,10 @@ def ingest(
     tagged = metadata_changes(
         outcomes, base, POSITION, one_per_key=not bypass, **(tag_options or {})
     )
+    if isinstance(words, NounModel):
+        folders.append(scratch(store.spark, "tagged"))
+        tagged = stage_at(tagged, folders[-1])
+        words = non_nouns(words, tagged)
     if words is not None:
         tagged = without_words(tagged, words, key="cid")
     version = store.commit(

@@ -7,6 +7,7 @@ it never parses Python.
 from __future__ import annotations
 
 from callshelf.functions.fixed_values import GENERIC_PARTS, STOP_WORDS
+from callshelf.operators.nouns import ARTICLES, DIGITS, ENDING, RATIO, STRENGTH, TOKEN
 from callshelf.plans.queries import DOCUMENT_BYTES, GROUP_BYTES, REPORT_K
 from callshelf.sources.part_corpus import BASE, BROKEN_EVERY, FOLDERS, TEMPLATES
 
@@ -209,6 +210,52 @@ outcomes AS (
   FROM firsts)"""
 
 
+def _article_cases() -> str:
+    return " ".join(
+        f"WHEN lang = {_text(code)} THEN list_contains({_list(words)}, lower(prev))"
+        for code, words in ARTICLES.items()
+    )
+
+
+# The noun guesser's counts and estimates; the chain of endings is unrolled.
+_NOUNS = f"""toks AS (
+  SELECT lang, ['.'] || regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM documents),
+pairs AS (
+  SELECT lang, t[i] AS prev, t[i + 1] AS word
+  FROM (SELECT lang, t, unnest(range(1, len(t))) AS i FROM toks)),
+places AS (
+  SELECT lower(word) AS word,
+    CAST(coalesce(CASE {_article_cases()} ELSE false END, false)
+      OR regexp_matches(prev, '^[0-9]+$')
+      OR (prev NOT IN ('.', '!', '?') AND left(word, 1) <> lower(left(word, 1))) AS BIGINT) AS np
+  FROM pairs WHERE regexp_matches(word, '^\\pL')),
+words AS (SELECT word, count(*) AS n, CAST(sum(np) AS BIGINT) AS c FROM places GROUP BY word),
+endings AS (
+  SELECT right(word, k) AS ending, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS c
+  FROM (SELECT *, unnest(range(1, least(length(word), {ENDING}) + 1)) AS k FROM words)
+  GROUP BY ending),
+totals AS (SELECT sum(c)::DOUBLE / sum(n) AS rate FROM words)"""
+
+
+def _estimate(asked: str) -> str:
+    """Estimates of the distinct words of ``asked(w)``: (w, p, noun)."""
+    steps = ["rate"]
+    joins = []
+    for k in range(1, ENDING + 1):
+        joins.append(f"LEFT JOIN endings e{k} ON length(w) >= {k} AND e{k}.ending = right(lower(w), {k})")
+        prev = steps[-1]
+        steps.append(
+            f"CASE WHEN length(w) >= {k} THEN (coalesce(e{k}.c, 0) + {STRENGTH} * ({prev})) "
+            f"/ (coalesce(e{k}.n, 0) + {STRENGTH}) ELSE ({prev}) END"
+        )
+    return f"""asked AS (SELECT DISTINCT w FROM {asked} WHERE w IS NOT NULL),
+chained AS (
+  SELECT w, rate, {steps[-1]} AS ends FROM asked CROSS JOIN totals {" ".join(joins)}),
+estimated AS (
+  SELECT w, (coalesce(words.c, 0) + {STRENGTH} * ends) / (coalesce(words.n, 0) + {STRENGTH}) AS p, rate
+  FROM chained LEFT JOIN words ON words.word = lower(w))"""
+
+
 _SECOND_RUN = f"""WITH {_corpus()}, {_first_run()}, {_corpus(2, "b_")},
 stored AS (
   SELECT b.*, m.code_cid AS immutable_cid FROM b_valid b JOIN metadata m USING (cid)),
@@ -327,6 +374,14 @@ SELECT kind, rank::int AS rank, path AS file, name AS callable, error,
        greatest(total - {REPORT_K}, 0) AS more
 FROM ranked WHERE rank <= {REPORT_K}""",
     "q_run_stats": f"WITH {_corpus()}, {_first_run(_FITS_150)} {_STATS}",
+    "q_noun_estimates": f"""WITH {_NOUNS}, word_list AS (SELECT word AS w FROM words), {_estimate("word_list")}
+SELECT word, n, c, round(p, {DIGITS}) AS p, coalesce(p >= rate * {RATIO}, false) AS noun
+FROM words JOIN estimated ON w = word""",
+    "q_noun_tags": f"""WITH {_TAGGED}, {_NOUNS},
+tag_words AS (SELECT DISTINCT unnest(tags) AS w FROM tagged), {_estimate("tag_words")},
+kept AS (SELECT coalesce(list(w), []) AS nl FROM estimated WHERE coalesce(p >= rate * {RATIO}, false))
+SELECT page_id, array_to_string(list_filter(tags, lambda t: list_contains(nl, t)), ',') AS tags
+FROM tagged, kept""",
     "q_run_status": f"""SELECT 'some' AS run, {_status(_FITS_150)} AS status
 UNION ALL SELECT 'none', {_status('false')}""",
 }

@@ -22,6 +22,7 @@ from callshelf.operators.entries import (
     with_reject_reason,
 )
 from callshelf.operators.extract import callables_only, extract_callables, parse_errors
+from callshelf.operators import nouns
 from callshelf.operators.tags import tag_counts, without_words
 from callshelf.plans.ingest import ingest
 from callshelf.session import scratch, spread, stage
@@ -222,6 +223,20 @@ def q_word_list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_noun_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the noun guesser learns from the documents: every word with its estimate."""
+    model = nouns.learn(_table(spark, sf_dir, "documents"))
+    return model.words.join(nouns.estimates(model, model.words), "word")
+
+
+def q_noun_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the pages that the guesser learned from the documents calls nouns."""
+    model = nouns.learn(_table(spark, sf_dir, "documents"))
+    tagged = stage(_tagged_pages(spark, sf_dir), "pages")
+    kept = without_words(tagged, nouns.non_nouns(model, tagged), key="page_id")
+    return kept.select("page_id", F.array_join("tags", ",").alias("tags"))
+
+
 # -- outcomes -----------------------------------------------------------------------
 
 

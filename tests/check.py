@@ -16,7 +16,7 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
-_SPARK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "BOOLEAN": "boolean"}
+_SPARK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "BOOLEAN": "boolean", "DOUBLE": "double"}
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
