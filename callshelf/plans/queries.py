@@ -28,7 +28,8 @@ from callshelf.plans.ingest import ingest
 from callshelf.session import scratch, spread, stage
 from callshelf.sources.part_corpus import BASE, FOLDERS, part_corpus, write_tree
 from callshelf.sources.store import CatalogStore
-from callshelf.sources.tree import exclude_paths, read_sources, scan_sources
+from callshelf.sources.tree import exclude_paths
+from callshelf.sources.tree_source import read_tree
 from callshelf.streaming.incremental import read_source_stream, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,10 +119,10 @@ def q_extract_callables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as files on a mounted folder: scanned, read and parsed."""
+    """The corpus as files on a mounted folder: read by the source tree data source, parsed."""
     root = scratch(spark, "tree").removeprefix("file://")
     write_tree(part_corpus(spark, sf_dir), root)
-    sources = stage(read_sources(scan_sources(spark, [root], recursive=True)), "sources")
+    sources = stage(read_tree(spark, [root], recursive=True), "sources")
     # a file has a row of its own beside those of its callables
     return extract_callables(sources).select(
         F.expr(f"substr(path, {len(root) + 2})").alias("path"),
