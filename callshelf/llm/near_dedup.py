@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from callshelf.llm.common import text_slices, texts_of
+from callshelf.llm.common import free_name, text_slices, texts_of
 from callshelf.llm.components import bounded, components, stage_narrow
 from callshelf.session import stage
 
@@ -120,9 +120,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return result
 
 
-def described(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(id, n_shingles, class, signature)``: ``class`` is a digest of the set, null if empty."""
-    narrow = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
+def described(
+    docs: DataFrame, id_column: str, text_column: str, carry: str | None = None
+) -> DataFrame:
+    """``(id, n_shingles, class, signature[, carry])``: ``class`` is a digest of the set, null
+    if empty; ``carry`` is passed through as it is."""
+    narrow = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"),
+                         *([docs[carry].alias(carry)] if carry else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -138,8 +142,9 @@ def described(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     pa.array(map(len, sets), pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(rows, pa.binary()),
+                    *([batch.column(2)] if carry else []),
                 ],
-                ["id", "n_shingles", "class", "signature"],
+                ["id", "n_shingles", "class", "signature", *([carry] if carry else [])],
             )
 
     schema = T.StructType(
@@ -148,6 +153,7 @@ def described(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             T.StructField("n_shingles", T.LongType()),
             T.StructField("class", T.BinaryType()),
             T.StructField("signature", T.BinaryType()),
+            *([narrow.schema[carry]] if carry else []),
         ]
     )
     return narrow.mapInArrow(run, schema)
@@ -493,16 +499,19 @@ def near_duplicates(
     branches: int = BRANCHES,
     depth: int = DEPTH,
     small_node: int = SMALL_NODE,
+    carry: str | None = None,
 ) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` of each row of ``docs``.
+    """``(id, n_shingles, component_id, kept[, carry])`` of each row of ``docs``.
 
     Rows of equal sets belong together, and rows linked directly or by others do. ``kept`` is
     true for the row whose id is the smallest of its component. A null or empty text, or one
     of white space, has an empty set and is linked with nothing. Repeated rows get the same
-    result each. Other columns play no part; an empty table gives an empty result. An id that
-    stands for several texts ties their components together.
+    result each. Other columns play no part, but ``carry`` is passed through; an empty table
+    gives an empty result. Texts whose sets have the same smallest id meet in one vertex, so
+    their components are one; texts whose smallest ids differ stay apart even if an id is in
+    both. A class whose rows all have null ids has a null component_id and kept.
     """
-    rows = stage(described(docs, id_column, text_column), "described")
+    rows = stage(described(docs, id_column, text_column, carry), "described")
     classes = stage(
         rows.where(F.col("class").isNotNull())
         .groupBy("class")
@@ -583,27 +592,34 @@ def near_duplicates(
             "n_shingles",
             F.coalesce("component_id", "id").alias("component_id"),
             (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
+            *([carry] if carry else []),
         )
     )
 
 
 def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, one for each id, all columns.
-
-    The ids that go are few beside the texts, so those are what is looked up, by broadcast
-    if they are few and by a shuffle beyond. Only rows whose id repeats are compared
-    with each other.
+    """The rows of ``docs`` that stay: one row of each component, all columns.
+
+    Decided by row, not by id: a row stays if ``near_duplicates`` keeps it (its id is its
+    component's smallest) and it is the first such row of its component in the staged
+    order; so exact repeats and near copies under one id leave one row, and a text that
+    shares its id with a text elsewhere is not lost. Rows with an empty set (null, empty or
+    blank text) are linked with nothing and all stay. A row with a null id stays only if no
+    row with an id shares its component; such rows are not compared among themselves. The
+    rows that go are few beside the texts, so those are what is looked up, by broadcast if
+    they are few and by a shuffle beyond; texts are not shuffled.
     """
+    row = free_name(docs, "_row")
+    staged = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
     judged = stage(
-        near_duplicates(docs, id_column=id_column, **options).select(
-            F.col(id_column).alias("_id"), "kept"
+        near_duplicates(staged, id_column=id_column, carry=row, **options).select(
+            row, "kept", "component_id", "n_shingles"
         ),
         "near-kept",
     )
-    gone = judged.where(~F.coalesce("kept", F.lit(True))).select("_id").distinct()
-    again = judged.where("kept").groupBy("_id").count().where("count > 1").select("_id")
-    gone, again = bounded(gone), bounded(again)
-    left = docs.join(gone, docs[id_column] == gone["_id"], "left_anti")
-    once = left.join(again, left[id_column] == again["_id"], "left_anti")
-    repeated = left.join(again, left[id_column] == again["_id"], "left_semi")
-    return once.unionByName(repeated.dropDuplicates([id_column]))
+    alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
+    candidate = judged.where(F.coalesce("kept", F.col("component_id").isNull()))
+    firsts = candidate.where(~alone).groupBy("component_id").agg(F.min(row).alias(row))
+    staying = candidate.where(alone).select(row).unionByName(firsts.select(row))
+    gone = bounded(stage(judged.select(row).join(staying, row, "left_anti"), "near-gone"))
+    return staged.join(gone, row, "left_anti").drop(row)
