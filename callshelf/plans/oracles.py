@@ -356,6 +356,10 @@ SELECT path, line_number, name, substring(code_cid, 1, 12) AS short_cid,
 FROM valid""",
     "q_incremental": f"""{_RUN}
 SELECT m.*, c.version_cid, c.signature, c.docstring, c.computer_code
+FROM metadata m JOIN codes c ON m.code_cid = c.cid""",
+    # the same catalog as one run: interface ids hold the path, parts share no file
+    "q_tree_stream": f"""{_RUN}
+SELECT m.*, c.version_cid, c.signature, c.docstring, c.computer_code
 FROM metadata m JOIN codes c ON m.code_cid = c.cid""",
     "q_upload_errors": f"""WITH {_documents("text", DOCUMENT_BYTES, "path, doc_id")}
 SELECT path, doc_id AS line_number, 'doc_' || doc_id AS name, {_ERROR_TEXT} AS error

@@ -29,7 +29,7 @@ from callshelf.session import scratch, spread, stage
 from callshelf.sources.part_corpus import BASE, FOLDERS, part_corpus, write_tree
 from callshelf.sources.store import CatalogStore
 from callshelf.sources.tree import exclude_paths
-from callshelf.sources.tree_source import read_tree
+from callshelf.sources.tree_source import read_tree, read_tree_stream
 from callshelf.streaming.incremental import read_source_stream, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,28 @@ def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metadata_view(store).join(codes, "code_cid")
 
 
+def q_tree_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus arrives as files in two parts; a stream over the raw tree takes each file
+    once, and a third trigger, with nothing new, adds nothing."""
+    store = CatalogStore.create(spark, scratch(spark, "catalog"))
+    root = scratch(spark, "tree").removeprefix("file://")
+    state, checkpoint = scratch(spark, "tree-state"), scratch(spark, "stream")
+    corpus = stage(part_corpus(spark, sf_dir), "corpus")
+    in_first = F.lit(False)
+    for folder in FOLDERS[:2]:
+        in_first = in_first | F.col("path").startswith(f"{BASE}/{folder}/")
+    for part in (corpus.where(in_first), corpus.where(~in_first), None):
+        if part is not None:
+            write_tree(part, root)
+        # the tree is the corpus mounted at ``root``: its paths are the corpus's again
+        stream = read_tree_stream(spark, root, state, recursive=True).withColumn(
+            "path", F.concat(F.lit(BASE), F.expr(f"substr(path, {len(root) + 1})"))
+        )
+        start_ingest(stream, store, checkpoint, base=BASE, as_of=AS_OF).awaitTermination()
+    codes = _codes_view(store).withColumnRenamed("cid", "code_cid")
+    return _metadata_view(store).join(codes, "code_cid")
+
+
 # -- reports ------------------------------------------------------------------------
 
 

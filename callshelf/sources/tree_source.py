@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     InputPartition,
     StringEndsWith,
     StringStartsWith,
@@ -116,6 +117,56 @@ class _Tree:
                    for p in self.prefixes)
 
 
+    def walk(self, root: str, folder: str) -> Iterator[tuple]:
+        """(handle, file info, path as text) of the wanted files below ``folder`` of ``root``."""
+        from pyarrow import fs
+
+        handle, inner, prefix = _handle(root)
+        verdict = _Verdict(self.exclude)
+        stack = [folder]
+        while stack:
+            here = stack.pop()
+            for entry in sorted(self.listing(handle, here), key=lambda e: e.path):
+                relative = entry.path[len(inner.rstrip("/")) + 1:]
+                if verdict(relative) or _is_link(handle, entry.path):
+                    continue
+                if entry.type == fs.FileType.Directory:
+                    if self.recursive and self.wanted_folder(prefix + entry.path):
+                        stack.append(entry.path)
+                elif entry.type == fs.FileType.File:
+                    if self.wanted_file(entry.base_name, prefix + entry.path):
+                        yield handle, entry, prefix + entry.path
+
+    def snapshot(self) -> dict[str, list]:
+        """``{path: [size, modification time in ns]}`` of every wanted file of all roots."""
+        from pyarrow import fs
+
+        seen: dict[str, list] = {}
+        if self.recursive and _Verdict(self.exclude)("."):
+            return seen
+        for root in self.roots:
+            handle, inner, _ = _handle(root)
+            if handle.get_file_info(inner).type != fs.FileType.Directory:
+                continue
+            for _, entry, shown in self.walk(root, inner):
+                seen[shown] = [entry.size, entry.mtime_ns]
+        return seen
+
+
+def _read_file(shown: str, root: str) -> tuple:
+    """(path, content, read_error) of one file, by the handle of its root."""
+    handle, _, prefix = _handle(root)
+    try:
+        with handle.open_input_stream(shown.removeprefix(prefix)) as stream:
+            data = stream.read()
+    except OSError as error:
+        return shown, None, str(error)
+    try:
+        return shown, data.decode("utf-8"), None
+    except UnicodeDecodeError:
+        return shown, None, f"Not UTF-8 text: {shown}"
+
+
 class SourceTreeReader(DataSourceReader):
     def __init__(self, tree: _Tree) -> None:
         self.tree = tree
@@ -205,6 +256,75 @@ class SourceTreeReader(DataSourceReader):
             yield shown, None, f"Not UTF-8 text: {shown}"
 
 
+class SourceTreeStreamReader(DataSourceStreamReader):
+    """Offsets of its own: each offset is a snapshot of (path, size, modification time).
+
+    ``latestOffset`` lists the tree on the driver, as Spark's file streams do, and writes a
+    new snapshot to the ``state`` folder only if something changed; a batch reads the files
+    that are new or changed between its two snapshots. A file changed between triggers
+    arrives once with its content at reading time; a restart finds the last snapshot in
+    ``state`` and adds nothing while the tree stays as it was. Deleted files are not
+    reported.
+    """
+
+    def __init__(self, tree: _Tree, state: str) -> None:
+        self.tree, self.state = tree, state.rstrip("/")
+
+    def _store(self):
+        from pyarrow import fs
+
+        handle, inner, _ = _handle(self.state)
+        handle.create_dir(inner, recursive=True)
+        return handle, inner
+
+    def _versions(self) -> list[int]:
+        handle, inner = self._store()
+        names = [e.base_name for e in self.tree.listing(handle, inner)]
+        return sorted(int(n[9:-5]) for n in names if re.fullmatch(r"snapshot-\d+\.json", n))
+
+    def _load(self, version: int) -> dict:
+        if not version:
+            return {}
+        handle, inner = self._store()
+        with handle.open_input_stream(f"{inner}/snapshot-{version:020d}.json") as stream:
+            return json.loads(stream.read())
+
+    def initialOffset(self) -> dict:
+        return {"version": 0}
+
+    def latestOffset(self) -> dict:
+        versions = self._versions()
+        last = versions[-1] if versions else 0
+        now = self.tree.snapshot()
+        if now == self._load(last):
+            return {"version": last}
+        handle, inner = self._store()
+        with handle.open_output_stream(f"{inner}/snapshot-{last + 1:020d}.json") as stream:
+            stream.write(json.dumps(now).encode())
+        return {"version": last + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        before, after = self._load(start["version"]), self._load(end["version"])
+        changed = sorted(p for p, facts in after.items() if before.get(p) != facts)
+        roots = self.tree.roots
+        owner = [next((r for r in roots if p.startswith(r.rstrip("/") + "/")), roots[0])
+                 for p in changed]
+        work = list(zip(changed, owner))
+        count = max(1, min(self.tree.tasks, len(work)))
+        return [InputPartition(json.dumps(work[i::count])) for i in range(count)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for shown, root in json.loads(partition.value):
+            yield _read_file(shown, root)
+
+    def commit(self, end: dict) -> None:
+        """Snapshots older than the committed one are no longer needed."""
+        handle, inner = self._store()
+        for version in self._versions():
+            if version < end["version"]:
+                handle.delete_file(f"{inner}/snapshot-{version:020d}.json")
+
+
 class SourceTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -216,6 +336,12 @@ class SourceTree(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return SourceTreeReader(_Tree(dict(self.options)))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        options = dict(self.options)
+        if not options.get("state"):
+            raise ValueError("A source tree stream needs a 'state' folder all restarts share")
+        return SourceTreeStreamReader(_Tree(options), options["state"])
+
 
 def read_tree(
     spark: SparkSession,
@@ -245,3 +371,31 @@ def read_tree(
         .option("tasks", str(tasks))
         .load()
     )
+
+
+def read_tree_stream(
+    spark: SparkSession,
+    roots: str | Sequence[str],
+    state: str,
+    *,
+    recursive: bool = False,
+    exclude: Sequence[str] = (),
+    suffix: str = ".py",
+) -> DataFrame:
+    """A stream of ``(path, content, read_error)``: files that are new or changed since the
+    last trigger. ``state`` keeps the snapshots; give the same folder on every restart,
+    e.g. beside the checkpoint."""
+    spark.dataSource.register(SourceTree)
+    tasks = max(spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    return (
+        spark.readStream.format(NAME)
+        .option("paths", json.dumps(roots))
+        .option("state", state)
+        .option("recursive", str(recursive).lower())
+        .option("exclude", json.dumps(list(exclude)))
+        .option("suffix", suffix)
+        .option("tasks", str(tasks))
+        .load()
+    )

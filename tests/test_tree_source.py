@@ -79,3 +79,26 @@ def test_path_filters_reach_the_reader(spark, tmp_path):
         "b/sub/w.py", "b/z.py"]
     ending = df.where(df.path.endswith("y.py"))
     assert [os.path.relpath(r.path, tmp_path) for r in ending.collect()] == ["a/y.py"]
+
+
+def test_stream_takes_new_and_changed_files_once(spark, tmp_path):
+    from callshelf.sources.tree_source import read_tree_stream
+
+    root, sink, checkpoint, state = (tmp_path / n for n in ("root", "sink", "ck", "state"))
+    make(root, "a.py", "_pkg/b.py", "venv/skip.py")
+
+    def trigger() -> list[tuple]:
+        stream = read_tree_stream(spark, str(root), str(state), recursive=True)
+        query = (stream.writeStream.format("parquet").option("path", str(sink))
+                 .option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return sorted((os.path.relpath(r.path, root), r.content)
+                      for r in spark.read.parquet(str(sink)).collect())
+
+    first = trigger()
+    assert first == [("_pkg/b.py", "x = '_pkg/b.py'\n"), ("a.py", "x = 'a.py'\n")]
+    (root / "a.py").write_text("x = 'changed'\n")
+    make(root, "c.py")
+    second = trigger()
+    assert second == sorted(first + [("a.py", "x = 'changed'\n"), ("c.py", "x = 'c.py'\n")])
+    assert trigger() == second  # a restart with nothing new adds nothing
