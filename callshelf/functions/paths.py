@@ -67,3 +67,36 @@ def path_tags(
 
 def tags_json(tags: Column) -> Column:
     return F.to_json(tags)
+
+
+def _json_char(c: Column) -> Column:
+    """One character as Python's ``json.dumps`` writes it with ASCII output."""
+
+    def u(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    code = F.ascii(c)
+    above = code - 0x10000
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t",
+             "\b": "\\b", "\f": "\\f"}
+    out = None
+    for char, written in short.items():
+        out = F.when(c == char, F.lit(written)) if out is None else out.when(c == char, written)
+    return (
+        out.when(code >= 0x10000, F.concat(u(F.shiftright(above, 10) + 0xD800),
+                                           u(above.bitwiseAND(0x3FF) + 0xDC00)))
+        .when((code < 0x20) | (code > 0x7E), u(code))
+        .otherwise(c)
+    )
+
+
+def tags_json_text(tags: Column) -> Column:
+    """The text Python's ``json.dumps`` gives for a list of strings: ``", "`` between items,
+    characters outside printable ASCII as ``\\uXXXX`` (beyond the first plane as a surrogate
+    pair), a null item as ``null``; a null list gives null."""
+    def item(t: Column) -> Column:
+        chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+        quoted = F.concat(F.lit('"'), F.array_join(F.transform(chars, _json_char), ""), F.lit('"'))
+        return F.when(t.isNull(), F.lit("null")).otherwise(quoted)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(tags, item), ", "), F.lit("]"))

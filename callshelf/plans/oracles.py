@@ -317,6 +317,18 @@ SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY
     "q_tags_json": f"""WITH {_TAGGED}
 SELECT page_id, '[' || array_to_string(list_transform(tags, lambda t: '"' || t || '"'), ',') || ']'
   AS tags_json FROM tagged""",
+    "q_tags_json_text": r"""SELECT doc_id, '[' || array_to_string(list_transform(
+  regexp_extract_all(text, '[^\x20\x09-\x0D]+'),
+  lambda w: '"' || array_to_string(list_transform(regexp_extract_all(w, '(?s).'), lambda c:
+    CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n'
+      WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b'
+      WHEN c = chr(12) THEN '\f'
+      WHEN unicode(c) >= 65536 THEN
+        printf('\u%04x\u%04x', 55296 + ((unicode(c) - 65536) >> 10),
+               56320 + ((unicode(c) - 65536) & 1023))
+      WHEN unicode(c) < 32 OR unicode(c) > 126 THEN printf('\u%04x', unicode(c))
+      ELSE c END), '') || '"'), ', ') || ']' AS tags_json
+FROM documents""",
     "q_word_list_tags": f"""WITH {_TAGGED},
 words AS (SELECT list(DISTINCT lang) AS w FROM documents)
 SELECT page_id, array_to_string(list_filter(tags, lambda t: NOT list_contains(w, t)), ',') AS tags

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callshelf.functions import identity
-from callshelf.functions.paths import path_tags, tags_json
+from callshelf.functions.paths import path_tags, tags_json, tags_json_text
 from callshelf.operators import outcomes as oc
 from callshelf.operators import report
 from callshelf.operators.entries import (
@@ -216,6 +216,15 @@ def q_tags_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_tags_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags as the exact text the catalog's JSON column holds; the words of each document
+    serve as tags, for their quotes, accents and other scripts."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", tags_json_text(words).alias("tags_json")
+    )
+
+
 def q_word_list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags without the words of a table: here the languages of the documents."""
     words = _table(spark, sf_dir, "documents").select(F.col("lang").alias("word")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callshelf.functions.paths import tags_json
+from callshelf.functions.paths import tags_json_text
 from callshelf.schemas import CODES, COMMITS, METADATA
 
 TABLES = {"codes": CODES, "metadata": METADATA}
@@ -75,8 +75,8 @@ class CatalogStore:
         return self._rows("metadata", runs or self.runs()).select("cid", "code_cid")
 
     def metadata_export(self) -> DataFrame:
-        """Metadata with the tags as JSON text."""
-        return self.metadata().withColumn("tags", tags_json(F.col("tags")))
+        """Metadata with the tags as the JSON text ``json.dumps`` writes."""
+        return self.metadata().withColumn("tags", tags_json_text(F.col("tags")))
 
     def catalog(self) -> DataFrame:
         """Each metadata row with its code."""
