@@ -12,22 +12,59 @@ from callshelf.functions.verdict import NO_DOCSTRING, NOT_STANDALONE
 from callshelf.operators.outcomes import DUPLICATE, ERROR, ORDER, UPLOADED, mark_known
 
 
-def run_stats(annotated: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
-    """One row of counters. Without ``outcomes`` (dry run) nothing is uploaded or skipped
-    as a duplicate. Each table is counted in one pass over narrow columns."""
+def _in_table() -> dict:
     is_callable = F.col("name").isNotNull()
-    in_table = {
+    return {
         "files_scanned": ~is_callable,
         "callables_found": is_callable,
         "skipped_not_standalone": F.col("reject_reason") == NOT_STANDALONE,
         "skipped_no_docstring": F.col("reject_reason") == NO_DOCSTRING,
         "parse_errors": F.col("parse_error").isNotNull(),
     }
-    in_outcomes = {
+
+
+def _in_outcomes() -> dict:
+    return {
         "skipped_duplicates": F.col("outcome") == DUPLICATE,
         "new_uploads": F.col("outcome") == UPLOADED,
         "upload_errors": F.col("outcome") == ERROR,
     }
+
+
+def table_counters() -> list:
+    """Counters of the annotated table, for ``DataFrame.observe`` on the job that writes it."""
+    return [F.count_if(test).alias(n) for n, test in _in_table().items()]
+
+
+def outcome_counters() -> list:
+    """Counters of the outcomes, for ``DataFrame.observe`` on the job that writes them."""
+    return [F.count_if(test).alias(n) for n, test in _in_outcomes().items()]
+
+
+def observed_stats(spark, table: dict, outcomes: dict | None = None) -> DataFrame:
+    """The row of ``run_stats`` from counters observed while the tables were written."""
+    got = {**{n: 0 for n in _in_outcomes()}, **table, **(outcomes or {})}
+    valid = got["callables_found"] - got["skipped_not_standalone"] - got["skipped_no_docstring"]
+    row = (
+        got["files_scanned"], got["callables_found"], got["skipped_not_standalone"],
+        got["skipped_no_docstring"], got["skipped_duplicates"], got["new_uploads"], valid,
+        got["parse_errors"], got["upload_errors"], got["parse_errors"] + got["upload_errors"],
+    )
+    return spark.createDataFrame([row], ", ".join(f"{n} bigint" for n in STATS_COLUMNS))
+
+
+STATS_COLUMNS = (
+    "files_scanned", "callables_found", "skipped_not_standalone", "skipped_no_docstring",
+    "skipped_duplicates", "new_uploads", "valid_callables", "parse_errors", "upload_errors",
+    "errors",
+)
+
+
+def run_stats(annotated: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """One row of counters. Without ``outcomes`` (dry run) nothing is uploaded or skipped
+    as a duplicate. Each table is counted in one pass over narrow columns; ``ingest``
+    observes the same counters while it writes instead (``observed_stats``)."""
+    in_table, in_outcomes = _in_table(), _in_outcomes()
     counted = annotated.agg(*[F.count_if(test).alias(n) for n, test in in_table.items()])
     if outcomes is None:
         counted = counted.withColumns({n: F.lit(0) for n in in_outcomes})

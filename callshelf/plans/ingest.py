@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from callshelf.operators import report
@@ -72,12 +72,17 @@ def ingest(
     folders = [scratch(store.spark, "annotated"), scratch(store.spark, "outcomes")]
     annotated = annotate(extract(sources), **(limits or {}))
     # Written once, so a row keeps its number.
-    staged = stage_at(annotated.withColumn("row", F.monotonically_increasing_id()), folders[0])
+    seen = Observation("annotated")
+    staged = stage_at(
+        annotated.withColumn("row", F.monotonically_increasing_id())
+        .observe(seen, *report.table_counters()),
+        folders[0],
+    )
     entries, failed = catalog_entries(staged), file_errors(staged)
 
     if dry_run:
         nothing = entries.withColumn("outcome", F.lit(None).cast("string")).limit(0)
-        stats = report.run_stats(staged)
+        stats = report.observed_stats(store.spark, seen.get)
         return IngestRun(
             stats=stats,
             status=report.run_status(stats),
@@ -93,8 +98,10 @@ def ingest(
     narrow = entries.select(
         "cid", "code_cid", *POSITION, "name", "type", "file_path", "error"
     )
+    decided = Observation("outcomes")
     outcomes = stage_at(
-        resolve_outcomes(narrow, store.metadata_keys(runs), bypass=bypass, order=POSITION),
+        resolve_outcomes(narrow, store.metadata_keys(runs), bypass=bypass, order=POSITION)
+        .observe(decided, *report.outcome_counters()),
         folders[1],
     )
     tagged = metadata_changes(
@@ -112,7 +119,7 @@ def ingest(
         batch_id=batch_id,
         runs=runs,
     )
-    stats = report.run_stats(staged, outcomes)
+    stats = report.observed_stats(store.spark, seen.get, decided.get)
     failures = report.upload_errors(outcomes)
     return IngestRun(
         stats=stats,

@@ -178,3 +178,10 @@ def test_error_report_lists_the_first_five(spark):
 def test_status(spark, errors, uploads, status):
     stats = spark.createDataFrame([(errors, uploads)], "errors long, new_uploads long")
     assert report.run_status(stats).first().status == status
+
+
+def test_stats_are_observed_while_writing(spark, store, sources):
+    run = ingest(sources(FILES), store, base="/w", as_of=AS_OF)
+    plan = run.stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "parquet" not in plan.lower()
+    assert stats_of(run)["files_scanned"] == 6
