@@ -142,3 +142,43 @@ def preview(entries: DataFrame, metadata: DataFrame, key: str = "cid") -> DataFr
     """
     wanted = entries.select(*ORDER, "name", key, short_id(F.col("code_cid")).alias("short_cid"))
     return mark_known(wanted, metadata, key, spread=ORDER).drop(key)
+
+
+# The labels of the summary and their order.
+SUMMARY = (
+    ("Files scanned", "files_scanned"),
+    ("Callables found", "callables_found"),
+    ("Skipped (not standalone)", "skipped_not_standalone"),
+    ("Skipped (no docstring)", "skipped_no_docstring"),
+    ("Valid callables", "valid_callables"),
+    ("New uploads", "new_uploads"),
+    ("Duplicates skipped", "skipped_duplicates"),
+    ("Errors", "errors"),
+)
+RULE = "=" * 50
+
+
+def readable_total(store) -> int | None:
+    """The number of code rows, or None if the catalog cannot be read: the report goes on
+    without it. One number comes to the driver."""
+    try:
+        row = store.total().first()
+    except Exception:  # any failure to read the catalog: the total is left out
+        return None
+    return None if row is None else row["total"]
+
+
+def summary_lines(stats: DataFrame, total: int | None) -> DataFrame:
+    """``(n, line)``: the report of a run as text lines, counters always, the catalog's total
+    only if it was read (``readable_total``)."""
+    lines = [F.lit(RULE), F.lit("Upload Complete!"), F.lit(RULE)]
+    lines += [
+        F.concat(F.rpad(F.lit(f"{label}:"), 26, " "), F.col(column).cast("string"))
+        for label, column in SUMMARY
+    ]
+    if total is not None:
+        lines += [F.lit(""), F.concat(F.lit("Database now contains "),
+                                      F.format_number(F.lit(total), 0), F.lit(" code entries"))]
+    numbered = F.array(*[F.struct(F.lit(i + 1).alias("n"), line.alias("line"))
+                         for i, line in enumerate(lines)])
+    return stats.select(F.inline(numbered))

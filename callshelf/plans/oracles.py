@@ -169,6 +169,20 @@ FROM (SELECT
   (SELECT count(*) FROM outcomes WHERE outcome = 'error') AS upload_errors)"""
 
 
+def _summary(with_total: bool) -> str:
+    from callshelf.operators.report import RULE, SUMMARY
+
+    lines = [f"SELECT 1 AS n, '{RULE}' AS line", "SELECT 2, 'Upload Complete!'", f"SELECT 3, '{RULE}'"]
+    lines += [f"SELECT {i + 4}, rpad('{label}:', 26, ' ') || {column} FROM stats"
+              for i, (label, column) in enumerate(SUMMARY)]
+    if with_total:
+        n = len(lines) + 1
+        lines += [f"SELECT {n}, ''", f"SELECT {n + 1}, 'Database now contains ' || "
+                  "format('{:,}', count(DISTINCT cid)) || ' code entries' FROM codes"]
+    return (f"WITH {_corpus()}, {_first_run(_FITS_150)}, stats AS ({_STATS})\n"
+            + "\nUNION ALL ".join(lines))
+
+
 def _status(fits: str) -> str:
     return f"""(WITH {_corpus()}, {_first_run(fits)}
 SELECT CASE WHEN errors = 0 THEN 0 WHEN new_uploads > 0 THEN 1 ELSE 2 END FROM ({_STATS}))"""
@@ -390,6 +404,8 @@ SELECT kind, rank::int AS rank, path AS file, name AS callable, error,
        greatest(total - {REPORT_K}, 0) AS more
 FROM ranked WHERE rank <= {REPORT_K}""",
     "q_run_stats": f"WITH {_corpus()}, {_first_run(_FITS_150)} {_STATS}",
+    "q_summary": _summary(True),
+    "q_summary_without_total": _summary(False),
     "q_noun_estimates": f"""WITH {_NOUNS}, word_list AS (SELECT word AS w FROM words), {_estimate("word_list")}
 SELECT word, n, c, round(p, {DIGITS}) AS p, coalesce(p >= rate * {RATIO}, false) AS noun
 FROM words JOIN estimated ON w = word""",

@@ -424,6 +424,23 @@ def q_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_run(spark, sf_dir, 150).stats
 
 
+def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run, with the total of its catalog."""
+    store = CatalogStore.create(spark, scratch(spark, "catalog"))
+    run = ingest(part_corpus(spark, sf_dir), store, base=BASE, as_of=AS_OF,
+                 limits={"text_max_bytes": 150})
+    return report.summary_lines(run.stats, report.readable_total(store))
+
+
+def q_summary_without_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report when the catalog cannot be read afterwards: all but the total."""
+    store = CatalogStore.create(spark, scratch(spark, "catalog"))
+    run = ingest(part_corpus(spark, sf_dir), store, base=BASE, as_of=AS_OF,
+                 limits={"text_max_bytes": 150})
+    lost = CatalogStore(spark, scratch(spark, "gone"))
+    return report.summary_lines(run.stats, report.readable_total(lost))
+
+
 def q_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of runs with errors: beside some uploads, and without any."""
     some = _first_run(spark, sf_dir, 150).status.withColumn("run", F.lit("some"))
