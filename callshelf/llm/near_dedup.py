@@ -601,25 +601,41 @@ def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", **options) -
     """The rows of ``docs`` that stay: one row of each component, all columns.
 
     Decided by row, not by id: a row stays if ``near_duplicates`` keeps it (its id is its
-    component's smallest) and it is the first such row of its component in the staged
-    order; so exact repeats and near copies under one id leave one row, and a text that
+    component's smallest) and it is the chosen row of its component (the one with the
+    smallest content key), so near copies under one id leave one row, and a text that
     shares its id with a text elsewhere is not lost. Rows with an empty set (null, empty or
-    blank text) are linked with nothing and all stay. A row with a null id stays only if no
-    row with an id shares its component; such rows are not compared among themselves. The
-    rows that go are few beside the texts, so those are what is looked up, by broadcast if
-    they are few and by a shuffle beyond; texts are not shuffled.
+    blank text) are linked with nothing and stay. A row with a null id stays only if no row
+    with an id shares its component; such rows are not compared among themselves. Of rows
+    equal in every column one stays.
+
+    Rows are told apart by a content key (two 64-bit hashes of all columns), so the input is
+    read again instead of written once more. The rows that go are few beside the texts, so
+    those are what is looked up, by broadcast if they are few and by a shuffle beyond; only
+    rows that repeat exactly are shuffled, to leave one.
     """
-    row = free_name(docs, "_row")
-    staged = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    key = free_name(docs, "_key")
+    every = [docs[c] for c in docs.columns]
+    keyed = docs.withColumn(key, F.struct(
+        F.xxhash64(*every).alias("a"), F.xxhash64(F.lit("second"), *every).alias("b")
+    ))
     judged = stage(
-        near_duplicates(staged, id_column=id_column, carry=row, **options).select(
-            row, "kept", "component_id", "n_shingles"
+        near_duplicates(keyed, id_column=id_column, carry=key, **options).select(
+            key, "kept", "component_id", "n_shingles"
         ),
         "near-kept",
     )
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
     candidate = judged.where(F.coalesce("kept", F.col("component_id").isNull()))
-    firsts = candidate.where(~alone).groupBy("component_id").agg(F.min(row).alias(row))
-    staying = candidate.where(alone).select(row).unionByName(firsts.select(row))
-    gone = bounded(stage(judged.select(row).join(staying, row, "left_anti"), "near-gone"))
-    return staged.join(gone, row, "left_anti").drop(row)
+    firsts = candidate.where(~alone).groupBy("component_id").agg(F.min(key).alias(key))
+    staying = candidate.where(alone).select(key).unionByName(firsts.select(key)).distinct()
+    gone = bounded(stage(judged.select(key).distinct().join(staying, key, "left_anti"),
+                         "near-gone"))
+    again = bounded(stage(
+        judged.join(staying, key, "left_semi").groupBy(key).count().where("count > 1")
+        .select(key),
+        "near-again",
+    ))
+    left = keyed.join(gone, key, "left_anti")
+    once = left.join(again, key, "left_anti")
+    repeated = left.join(again, key, "left_semi").dropDuplicates([key])
+    return once.unionByName(repeated).drop(key)
