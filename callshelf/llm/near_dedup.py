@@ -44,7 +44,7 @@ BRANCHES = 3
 DEPTH = 2
 #: Nodes of as many classes or fewer are compared exhaustively.
 SMALL_NODE = 256
-BLOCK = 2048
+BLOCK = 1024
 #: Larger nodes whose classes are on average so similar to one of them are not branched:
 #: most paths would keep them together.
 DENSE = 0.4
