@@ -390,10 +390,7 @@ class _Join:
                 left, right = [], []
                 for row in range(batch.num_rows):
                     vertex, root, side = (batch.column(n)[row].values for n in fields)
-                    sets = [
-                        np.frombuffer(x, np.uint64)
-                        for x in batch.column("shingles")[row].values.to_pylist()
-                    ]
+                    sets = _arrow_sets(batch.column("shingles")[row].values)
                     labels = np.asarray(root.dictionary_encode().indices)
                     for i, j in _ties(sets, labels, np.asarray(side), similarity):
                         left.append(vertex[i].as_py())
@@ -436,6 +433,17 @@ class _Join:
         return cut("outer", "inner", 0).unionByName(cut("inner", "outer", 1))
 
 
+def _arrow_sets(values: pa.Array) -> list[np.ndarray]:
+    """Shingle sets of a binary array as views of its data buffer, without a copy."""
+    if len(values) == 0:
+        return []
+    wide = pa.types.is_large_binary(values.type)
+    bounds = np.frombuffer(values.buffers()[1], dtype=np.int64 if wide else np.int32)
+    offsets = bounds[values.offset:values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)
+    return [data[offsets[i]:offsets[i + 1]].view(np.uint64) for i in range(len(values))]
+
+
 #: Columns of the matrix of shared shingles that are multiplied at a time.
 _COLUMNS = 4096
 
