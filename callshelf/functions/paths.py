@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,34 +69,51 @@ def tags_json(tags: Column) -> Column:
     return F.to_json(tags)
 
 
-def _json_char(c: Column) -> Column:
-    """One character as Python's ``json.dumps`` writes it with ASCII output."""
+# JSON's short escapes, the backslash first, for the others bring backslashes in.
+_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
-    def u(code: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
 
-    code = F.ascii(c)
-    above = code - 0x10000
-    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t",
-             "\b": "\\b", "\f": "\\f"}
-    out = None
-    for char, written in short.items():
-        out = F.when(c == char, F.lit(written)) if out is None else out.when(c == char, written)
-    return (
-        out.when(code >= 0x10000, F.concat(u(F.shiftright(above, 10) + 0xD800),
-                                           u(above.bitwiseAND(0x3FF) + 0xDC00)))
-        .when((code < 0x20) | (code > 0x7E), u(code))
-        .otherwise(c)
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ascii_escapes(text: Column) -> Column:
+    """``text`` with what is not printable ASCII as ``\\uXXXX``."""
+    def written(run: Column) -> Column:
+        codes = F.lower(F.hex(F.encode(run, "UTF-16BE")))
+        one = (F.char_length(run) == 1) & (F.octet_length(run) < 4)
+        return (
+            F.when((run >= " ") & (run < "\x7f"), run)
+            .when(one, F.concat(F.lit("\\u"), codes))
+            .otherwise(F.regexp_replace(codes, "(.{4})", r"\\u$1"))
+        )
+
+    runs = F.regexp_extract_all(text, F.lit("[ -~]+|[^ -~]+"), F.lit(0))
+    return F.when(
+        text.rlike("[^ -~]"), F.array_join(F.transform(runs, written), "")
+    ).otherwise(text)
 
 
 def tags_json_text(tags: Column) -> Column:
     """The text Python's ``json.dumps`` gives for a list of strings: ``", "`` between items,
     characters outside printable ASCII as ``\\uXXXX`` (beyond the first plane as a surrogate
     pair), a null item as ``null``; a null list gives null."""
-    def item(t: Column) -> Column:
-        chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
-        quoted = F.concat(F.lit('"'), F.array_join(F.transform(chars, _json_char), ""), F.lit('"'))
-        return F.when(t.isNull(), F.lit("null")).otherwise(quoted)
-
-    return F.concat(F.lit("["), F.array_join(F.transform(tags, item), ", "), F.lit("]"))
+    # Whole-string steps: work on single items or characters costs a call for each. Two bytes
+    # that no UTF-8 text holds stand for the end of an item and for an item that is null.
+    end, null = (F.unhex(F.lit(code)).cast("string") for code in ("FF", "FE"))
+
+    def joined(items: Column) -> Column:
+        valid = F.when(F.is_valid_utf8(F.array_join(items, "")), items).otherwise(
+            F.transform(items, F.make_valid_utf8))
+        text = F.call_function("array_join", valid, end, null)
+        for char, short in _SHORT.items():
+            text = F.replace(text, F.lit(char), F.lit(short))
+        quoted = F.concat(F.lit('"'), F.replace(text, end, F.lit('", "')), F.lit('"'))
+        return F.replace(quoted, F.concat(F.lit('"'), null, F.lit('"')), F.lit("null"))
+
+    def written(items: Column) -> Column:
+        return F.when(F.size(items) == 0, F.lit("[]")).otherwise(
+            F.concat(F.lit("["), _let(joined(items), _ascii_escapes), F.lit("]")))
+
+    return _let(tags, written)
