@@ -71,16 +71,19 @@ def word_places(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         F.array(F.lit(".")),
         F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)),
     )
-    steps = F.greatest(F.size(tokens) - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice(tokens, 1, steps).alias("prev"),
-                         F.slice(tokens, 2, steps).alias("word"))
-    placed = docs.select(F.col(lang).cast("string").alias("_lang"),
-                         F.explode(pairs).alias("p")).select("_lang", "p.prev", "p.word")
+    # a column of its own: the texts are cut once, not for each use of the tokens
+    cut = docs.select(F.col(lang).cast("string").alias("_lang"), tokens.alias("_tokens"))
+    steps = F.size("_tokens") - 1
+    pairs = F.arrays_zip(F.slice("_tokens", 1, steps).alias("prev"),
+                         F.slice("_tokens", 2, steps).alias("word"))
+    placed = cut.select("_lang", F.explode(pairs).alias("p")).select("_lang", "p.prev", "p.word")
     word, prev = F.col("word"), F.col("prev")
     first = F.substring(word, 1, 1)
     capital = ~prev.isin(".", "!", "?") & (first != F.lower(first))
-    noun_place = _article(prev, F.col("_lang")) | prev.rlike("^[0-9]+$") | capital
-    return placed.where(word.rlike(r"^\p{L}")).select(
+    # a token is a word, a number or one mark, so its place in byte order tells which
+    number = (prev >= "0") & (prev < ":")
+    noun_place = _article(prev, F.col("_lang")) | number | capital
+    return placed.where(word >= "A").select(
         F.lower(word).alias("word"), noun_place.cast("long").alias("noun_place")
     )
 
@@ -90,6 +93,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> NounModel:
     words = word_places(docs, text, lang).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum("noun_place").alias("c")
     )
+    # before its endings are counted, or the corpus would be read a second time for them
+    words = stage(words, "noun-words")
     endings = (
         words.select("n", "c", F.explode(F.sequence(F.lit(1), F.least(F.char_length("word"),
                                                                         F.lit(ENDING)))).alias("k"),
@@ -97,7 +102,6 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> NounModel:
         .select(F.expr("substring(word, -k)").alias("ending"), "n", "c")
         .groupBy("ending").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     )
-    words = stage(words, "noun-words")
     endings = stage(endings, "noun-endings")
     totals = words.agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     return NounModel(words, endings, totals)

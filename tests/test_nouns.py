@@ -76,3 +76,28 @@ def test_ingest_with_a_learned_model(spark, store, sources, model):
                  words=model)
     run.release()
     assert [list(r["tags"]) for r in store.metadata().collect()] == [["parser", "station"]]
+
+
+def test_corpus_is_read_once(spark, monkeypatch):
+    """The endings are counted from the staged words, and a text is cut once for all uses."""
+    plans = {}
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, name)
+
+    stage = nouns.stage
+    monkeypatch.setattr(nouns, "stage", recorded)
+    nouns.learn(spark.createDataFrame(CORPUS, "text string, lang string"))
+    assert plans["noun-words"].count("regexp_extract_all") == 1
+    assert "regexp_extract_all" not in plans["noun-endings"]
+
+
+def test_places_of_odd_tokens(spark):
+    """Numbers, marks and letters outside ASCII are told apart as their patterns do."""
+    texts = ["0 ape ! Bee ? Cow . Dog 9 elk", "\u0660 \u00e9l \u00c9l \U00010400x", "7", "", None, "a.b!c?d1e"]
+    docs = spark.createDataFrame([(t, None) for t in texts], "text string, lang string")
+    got = sorted(tuple(r) for r in nouns.word_places(docs).collect())
+    assert got == sorted([
+        ("ape", 1), ("bee", 0), ("cow", 0), ("dog", 0), ("elk", 1), ("\u00e9l", 0), ("\u00e9l", 1),
+        ("\U00010428x", 1), ("a", 0), ("b", 0), ("c", 0), ("d", 0), ("e", 1)])
