@@ -50,12 +50,10 @@ BLOCK = 1024
 DENSE = 0.4
 #: Pairs of a lower estimate are not confirmed: 4.6 standard deviations below the threshold.
 LEAST_ESTIMATE = 0.5
-CACHED_WORDS = 1_000_000
 #: Shingle sets a task takes.
 WIDE_ROWS = 5_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -79,13 +77,12 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     has none.
     """
     split = [text.encode("utf-8", "surrogatepass").lower().split() for text in texts]
-    if len(_words) > CACHED_WORDS:
-        _words.clear()
-    new = set().union(*split).difference(_words)
-    _words.update(zip(new, map(_word_hash, new)))
+    # of these texts only: kept for later ones, rare words would fill the memory of a worker
+    distinct = set().union(*split)
+    hashes = dict(zip(distinct, map(_word_hash, distinct)))
     counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     flat = np.fromiter(
-        (_words[word] for words in split for word in words), np.uint64, int(counts.sum())
+        (hashes[word] for words in split for word in words), np.uint64, int(counts.sum())
     )
     rolled = np.zeros(max(0, len(flat) - size + 1), dtype=np.uint64)
     for i in range(size):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
-from callshelf.llm.near_dedup import keep_one_of_each
+from callshelf.llm.near_dedup import keep_one_of_each, shingle_sets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +84,15 @@ def test_extra_and_clashing_columns_stay(spark):
     df = spark.createDataFrame([(1, A, "x", 0), (2, A, "y", 1)],
                                "doc_id long, text string, _row string, kept int").coalesce(1)
     assert [tuple(r) for r in keep_one_of_each(df).collect()] == [(1, A, "x", 0)]
+
+
+def test_words_of_earlier_texts_are_not_kept():
+    """A Python worker holds the words of the texts at hand, not those of all texts so far."""
+    def seen(i):
+        shingle_sets([" ".join(f"word{i}-{j}" for j in range(20_000))])
+        return tracemalloc.get_traced_memory()[0]
+
+    tracemalloc.start()
+    held = [seen(i) for i in range(5)]
+    tracemalloc.stop()
+    assert held[-1] - held[0] < 1_000_000
