@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from callshelf.llm.common import free_name, text_slices, texts_of
 from callshelf.llm.components import bounded, components, stage_narrow
-from callshelf.session import stage
+from callshelf.session import small_batches, stage
 
 SHINGLE = 5
 #: Link: 100 * intersection >= SIMILARITY * union.
@@ -52,6 +52,8 @@ DENSE = 0.4
 LEAST_ESTIMATE = 0.5
 #: Shingle sets a task takes.
 WIDE_ROWS = 5_000
+#: Rows (texts, pairs of sets, nodes with their sets) that a Python step takes at a time.
+BATCH_ROWS = 512
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -516,6 +518,31 @@ def near_duplicates(
     their components are one; texts whose smallest ids differ stay apart even if an id is in
     both. A class whose rows all have null ids has a null component_id and kept.
     """
+    if trees * branches > POSITIONS // 2:
+        raise ValueError("Too many trees for the positions of a signature")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        rows, named = _components_of(
+            docs, id_column, text_column, similarity, trees, branches, depth, small_node, carry
+        )
+    return (
+        rows.drop("signature")
+        .join(named, "class", "left")
+        .select(
+            F.col("id").alias(id_column),
+            "n_shingles",
+            F.coalesce("component_id", "id").alias("component_id"),
+            (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
+            *([carry] if carry else []),
+        )
+    )
+
+
+def _components_of(
+    docs: DataFrame, id_column: str, text_column: str, similarity: int, trees: int,
+    branches: int, depth: int, small_node: int, carry: str | None,
+) -> tuple[DataFrame, DataFrame]:
+    """What ``described`` says of each row, and ``(class, component_id)``. All Python steps
+    have run when it returns."""
     rows = stage(described(docs, id_column, text_column, carry), "described")
     classes = stage(
         rows.where(F.col("class").isNotNull())
@@ -523,8 +550,6 @@ def near_duplicates(
         .agg(F.min("id").alias("vertex"), F.first("signature").alias("signature")),
         "classes",
     )
-    if trees * branches > POSITIONS // 2:
-        raise ValueError("Too many trees for the positions of a signature")
     roots = F.array(
         *[
             F.xxhash64(F.lit(i), _value(F.lit(i)))
@@ -588,18 +613,7 @@ def near_duplicates(
         named = named.join(bounded(stage(ends, "ends")), "vertex", "left")
     else:
         named = named.withColumn("least", F.col("vertex"))
-    named = named.select("class", F.coalesce("least", "vertex").alias("component_id"))
-    return (
-        rows.drop("signature")
-        .join(named, "class", "left")
-        .select(
-            F.col("id").alias(id_column),
-            "n_shingles",
-            F.coalesce("component_id", "id").alias("component_id"),
-            (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
-            *([carry] if carry else []),
-        )
-    )
+    return rows, named.select("class", F.coalesce("least", "vertex").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:

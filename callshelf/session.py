@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(app: str = "callshelf", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,6 +75,22 @@ def stage_at(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Steps that run inside hand at most so many rows at a time to Python and back.
+
+    Wide rows (texts, sets) would else fill the memory beside the heap, ten thousand at a
+    time in each task. Rows are the same; the session's own setting comes back.
+    """
+    before = spark.conf.get(_BATCH_ROWS)
+    # 0 or less: no limit
+    spark.conf.set(_BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 def release(spark: SparkSession, folder: str) -> None:
     """Give back the space of a staged table: nothing is written over it."""
     spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(folder)
