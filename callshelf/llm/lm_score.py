@@ -19,6 +19,10 @@ them, the trie.
 Beside it stands a unigram score over words. Its vocabulary grows with the corpus, so only
 the words that hold at least ``1 / HOT_WORDS`` of all tokens (at most that many) are
 broadcast; the others are looked up by a join.
+
+Windows travel in buckets, as packed arrays: one row holds the windows that a task has for a
+bucket. Windows that share the last ``NEAR`` symbols of their context share the bucket, so the
+bucket alone knows all counts of their contexts of the orders ``NEAR`` to ``ORDER``.
 """
 
 from __future__ import annotations
@@ -34,13 +38,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callshelf.llm.common import crc32_of, text_slices, texts_of
-from callshelf.session import stage
+from callshelf.session import (
+    parallelism, release, scratch, shuffles_dropped, small_batches, stage, stage_at,
+)
 
 FOLDS = 10
 ORDER = 5
 CONTEXTS = 1 << 17
 HOT_WORDS = 1 << 17
 SMOOTHING = 0.1
+#: Windows of one context of this order, or of a longer one, are in one bucket.
+NEAR = ORDER - 1
+#: Buckets for each task of a shuffle: a few, so that tasks are even.
+BUCKETS = 4
+#: Windows whose counts a task holds before it hands them on.
+PARTIAL_GRAMS = 1_000_000
+#: Texts, and buckets with all their counts, that a Python step is handed at a time.
+TEXT_ROWS, BUCKET_ROWS = 512, 2
 #: Entries of a task's partial counts before they are handed on.
 PARTIAL_ENTRIES = 400_000
 #: Places that need a look-up before a task hands them on.
@@ -90,27 +104,99 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams[places], return_counts=True)
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``(gram, n)`` over all texts."""
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[begins], np.add.reduceat(counts, begins) if len(begins) else counts
+
+
+def contexts_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted ``context * SYMBOLS + next``: total and number of symbols of each context."""
+    if not len(keys):
+        return counts, counts
+    begins = np.flatnonzero(np.diff(keys // SYMBOLS, prepend=-1))
+    return np.add.reduceat(counts, begins), np.diff(np.append(begins, len(keys)))
+
+
+def dealt(grams: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(bucket, where its windows are)``."""
+    context = (grams // SYMBOLS % SYMBOLS**NEAR).astype(np.uint64)
+    own = ((context * _SPREAD >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    ends = np.cumsum(np.bincount(own, minlength=buckets)).tolist()
+    for bucket, (begin, end) in enumerate(zip([0, *ends], ends)):
+        if begin < end:
+            yield bucket, order[begin:end]
+
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """All first bytes, all second ones and so on: like stands by like, which compresses."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    each = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return each.T.copy().view(kind).ravel()
+
+
+def _numbers(column) -> np.ndarray:
+    """The arrays packed in a binary column, one after the other."""
+    return np.concatenate([np.empty(0, np.int64), *map(unpacked, column.to_pylist())])
+
+
+def count_grams(texts: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, grams, counts, total, least)`` over all texts: packed windows, sorted, how
+    often each occurs, their sum, and the least total of a context of each order from
+    ``NEAR``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(grams, counts):
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
+        def batch_of(waiting):
+            grams, counts = summed(*map(np.concatenate, zip(*waiting)))
+            parts = list(dealt(grams, buckets))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bucket for bucket, _ in parts], pa.int32()),
+                    pa.array([packed(grams[at]) for _, at in parts], pa.binary()),
+                    pa.array([packed(counts[at]) for _, at in parts], pa.binary()),
+                ],
+                ["bucket", "grams", "counts"],
+            )
 
-        grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting, entries = [], 0
         for batch in text_slices(batches):
-            more, times = gram_counts(texts_of(batch))
-            grams, at = np.unique(np.concatenate((grams, more)), return_inverse=True)
-            counts = np.bincount(
-                at, weights=np.concatenate((counts, times)), minlength=len(grams)
-            ).astype(np.int64)
-            if len(grams) > PARTIAL_ENTRIES:
-                yield batch_of(grams, counts)
-                grams, counts = grams[:0], counts[:0]
-        yield batch_of(grams, counts)
+            waiting.append(gram_counts(texts_of(batch)))
+            entries += len(waiting[-1][0])
+            if entries > PARTIAL_GRAMS:
+                yield batch_of(waiting)
+                waiting, entries = [], 0
+        if waiting:
+            yield batch_of(waiting)
+
+    def merge(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+        grams, counts = summed(_numbers(parts["grams"]), _numbers(parts["counts"]))
+        least = []
+        for order in range(NEAR, ORDER + 1):
+            totals, _ = contexts_of(*summed(grams % SYMBOLS ** (order + 1), counts))
+            least.append(int(totals.min()))
+        return pa.table(
+            {
+                "bucket": pa.array([key[0].as_py()], pa.int32()),
+                "grams": pa.array([packed(grams)], pa.binary()),
+                "counts": pa.array([packed(counts)], pa.binary()),
+                "total": pa.array([int(counts.sum())], pa.int64()),
+                "least": pa.array([least], pa.list_(pa.int64())),
+            }
+        )
 
-    partial = texts.mapInArrow(run, "gram bigint, n bigint")
-    return partial.groupBy("gram").agg(F.sum("n").alias("n"))
+    partial = texts.mapInArrow(run, "bucket int, grams binary, counts binary")
+    return partial.groupBy("bucket").applyInArrow(
+        merge, "bucket int, grams binary, counts binary, total bigint, least array<bigint>"
+    )
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -136,23 +222,52 @@ def count_words(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def context_table(grams: DataFrame) -> DataFrame:
-    """``(order, context, total, nexts)`` of all contexts, a table; ``nexts`` are ``(next, n)``."""
-    history = F.floor(F.col("gram") / SYMBOLS)
-    by_order = F.array(
-        *[
-            F.struct(
-                F.lit(order).alias("order"),
-                F.pmod(history, F.lit(SYMBOLS**order)).cast("bigint").alias("context"),
+def context_table(grams: DataFrame, symbols: int, contexts: int) -> DataFrame:
+    """``(order, context, total, nexts)``, a table; ``nexts`` are ``(next, n)``.
+
+    All contexts of the orders below ``NEAR``, and those of the others that the trie keeps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(order, keys, counts):
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(keys), order, np.int32)),
+                    pa.array(keys // SYMBOLS),
+                    pa.array(keys % SYMBOLS),
+                    pa.array(counts),
+                ],
+                ["order", "context", "next", "n"],
             )
-            for order in range(ORDER + 1)
-        ]
-    )
+
+        def short(waiting):
+            keys, counts = map(np.concatenate, zip(*waiting))
+            for order in range(NEAR - 1, -1, -1):
+                keys, counts = summed(keys % SYMBOLS ** (order + 1), counts)
+                yield batch_of(order, keys, counts)
+
+        waiting, entries = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, counts = (_numbers(batch.column(i).slice(row, 1)) for i in (0, 1))
+                for order in range(ORDER, NEAR - 1, -1):
+                    keys, counts = summed(keys % SYMBOLS ** (order + 1), counts)
+                    totals, sizes = contexts_of(keys, counts)
+                    kept = np.repeat(totals * contexts >= symbols, sizes)
+                    yield batch_of(order, keys[kept], counts[kept])
+                waiting.append(summed(keys % SYMBOLS**NEAR, counts))
+                entries += len(waiting[-1][0])
+                if entries > PARTIAL_GRAMS:
+                    yield from short(waiting)
+                    waiting, entries = [], 0
+        if waiting:
+            yield from short(waiting)
+
     rows = (
-        grams.select(
-            F.explode(by_order).alias("c"), F.pmod("gram", F.lit(SYMBOLS)).alias("next"), "n"
-        )
-        .groupBy("c.order", "c.context", "next")
+        grams.select("grams", "counts")
+        .mapInArrow(run, "order int, context bigint, next bigint, n bigint")
+        .repartition("order", "context")  # serves both steps below
+        .groupBy("order", "context", "next")
         .agg(F.sum("n").alias("n"))
     )
     # at most SYMBOLS entries in each context
@@ -314,10 +429,126 @@ def _automaton(name: str, model: Broadcast) -> Automaton:
     return _automata[name]
 
 
-def window_logs(windows: DataFrame, rare: DataFrame, name: str, model: Broadcast) -> DataFrame:
+def asked_windows(windows: DataFrame, grams: DataFrame) -> DataFrame:
+    """What the buckets know of the windows ``(flush, bucket, grams)``. Three kinds of rows:
+
+    ``(flush, bucket, logs)``: packed log-probabilities in order, NaN for windows that do not
+    occur in training; ``(flush, bucket, at, gram)``: each of these, and where it stands;
+    ``(gram, order, nexts)``: the contexts of the orders from ``NEAR`` of each distinct one,
+    and a row without order.
+    """
+    nexts_type = pa.list_(pa.struct([("next", pa.int64()), ("n", pa.int64())]))
+    fields = {
+        "flush": pa.int64(), "bucket": pa.int32(), "logs": pa.binary(), "at": pa.int32(),
+        "gram": pa.int64(), "order": pa.int32(), "nexts": nexts_type,
+    }
+
+    def rows_of(n: int, **columns) -> pa.Table:
+        return pa.table({k: columns.get(k, pa.nulls(n, t)) for k, t in fields.items()})
+
+    def run(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        grams, counts = _numbers(known["grams"]), _numbers(known["counts"])
+        totals, sizes = contexts_of(grams, counts)
+        given = np.where(sizes == SYMBOLS, 0.0, 0.5)
+        # one more, for windows beyond the last
+        logs = np.append(
+            np.log10((counts - np.repeat(given, sizes)) / np.repeat(totals, sizes)), np.nan
+        )
+        own = np.append(grams, -1)
+        parts, missing = [], [np.empty(0, np.int64)]
+        for flush, windows_of in zip(asked["flush"].to_pylist(), asked["grams"].to_pylist()):
+            wanted = unpacked(windows_of)
+            at = np.searchsorted(grams, wanted)
+            known_here = own[at] == wanted
+            values = np.where(known_here, logs[at], np.nan)
+            parts.append(
+                rows_of(
+                    1, flush=pa.array([flush]), bucket=pa.array([bucket], pa.int32()),
+                    logs=pa.array([packed(values)], pa.binary()),
+                )
+            )
+            miss = np.flatnonzero(~known_here)
+            if len(miss):
+                missing.append(wanted[miss])
+                parts.append(
+                    rows_of(
+                        len(miss), flush=pa.array(np.full(len(miss), flush)),
+                        bucket=pa.array(np.full(len(miss), bucket, np.int32)),
+                        at=pa.array(miss.astype(np.int32)), gram=pa.array(wanted[miss]),
+                    )
+                )
+        novel = np.unique(np.concatenate(missing))
+        parts.append(rows_of(len(novel), gram=pa.array(novel)))
+        for order in range(NEAR, ORDER + 1) if len(novel) else ():
+            keys, n = summed(grams % SYMBOLS ** (order + 1), counts)
+            context = novel // SYMBOLS % SYMBOLS**order * SYMBOLS
+            begins, ends = np.searchsorted(keys, context), np.searchsorted(keys, context + SYMBOLS)
+            has = ends > begins
+            sizes = (ends - begins)[has]
+            offsets = np.cumsum(np.append(0, sizes))
+            each = np.repeat(begins[has] - offsets[:-1], sizes) + np.arange(offsets[-1])
+            entries = pa.StructArray.from_arrays(
+                [pa.array(keys[each] % SYMBOLS), pa.array(n[each])], ["next", "n"]
+            )
+            parts.append(
+                rows_of(
+                    len(sizes), gram=pa.array(novel[has]),
+                    order=pa.array(np.full(len(sizes), order, np.int32)),
+                    nexts=pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), entries),
+                )
+            )
+        return pa.concat_tables(parts)
+
+    return windows.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(
+        run,
+        "flush bigint, bucket int, logs binary, at int, gram bigint, order int,"
+        " nexts array<struct<next:bigint,n:bigint>>",
+    )
+
+
+def rests(places: DataFrame, logs: DataFrame) -> DataFrame:
+    """``(row, rest)``: the sum over the open places of each row.
+
+    ``places(flush, bucket, base, times, rows)`` says in which rows the windows stand, and
+    ``logs(flush, bucket, logs, at, log)`` has their packed log-probabilities and, one by
+    one, those of the windows that were not learned. All places of a row are in one flush.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], places: pa.Table, logs: pa.Table) -> pa.Table:
+        values = {
+            bucket: unpacked(found, np.float64)
+            for bucket, found in zip(logs["bucket"].to_pylist(), logs["logs"].to_pylist())
+            if found is not None
+        }
+        single = logs.filter(logs["at"].is_valid())
+        for bucket, at, log in zip(*(single[c].to_pylist() for c in ("bucket", "at", "log"))):
+            values[bucket][at] = log
+        base, rows, each = 0, [], []
+        for bucket, first, times, numbers in zip(
+            *(places[c].to_pylist() for c in ("bucket", "base", "times", "rows"))
+        ):
+            base, times = first, unpacked(times, np.int32)
+            wide = len(numbers) != 2 * int(times.sum())
+            rows.append(np.frombuffer(numbers, np.int32 if wide else np.uint16))
+            each.append(np.repeat(values[bucket], times))
+        rows = np.concatenate(rows)
+        sums = np.bincount(rows, weights=np.concatenate(each))
+        there = np.flatnonzero(np.bincount(rows))
+        return pa.table({"row": pa.array(base + there), "rest": pa.array(sums[there])})
+
+    return places.groupBy("flush").cogroup(logs.groupBy("flush")).applyInArrow(
+        run, "row bigint, rest double"
+    )
+
+
+def window_logs(
+    windows: DataFrame, near: DataFrame, rare: DataFrame, name: str, model: Broadcast
+) -> DataFrame:
     """``(gram, log)`` of distinct windows ``(gram)`` that do not occur in training.
 
-    ``rare`` are the contexts that the model does not have.
+    ``near(gram, order, nexts)`` has their contexts of the orders from ``NEAR``, ``rare`` the
+    shorter contexts that the model does not have.
     """
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +556,7 @@ def window_logs(windows: DataFrame, rare: DataFrame, name: str, model: Broadcast
         for batch in batches:
             grams, orders = [], []
             for gram in batch.column(0).to_pylist():
-                more = range(automaton.order_after(gram) + 1, ORDER + 1)
+                more = range(automaton.order_after(gram) + 1, NEAR)
                 grams += [gram] * len(more)
                 orders += more
             yield pa.RecordBatch.from_arrays(
@@ -343,7 +574,7 @@ def window_logs(windows: DataFrame, rare: DataFrame, name: str, model: Broadcast
                 cache[order, context] = dict(rows[begin:end, 1:].tolist())
             return cache[order, context]
 
-        def contexts_of(gram: int, found: list) -> Iterator[dict[int, int]]:
+        def known_contexts(gram: int, found: list) -> Iterator[dict[int, int]]:
             own = {c["order"]: {e["next"]: e["n"] for e in c["nexts"]} for c in found or ()}
             for order in range(ORDER, -1, -1):
                 known = own.get(order) or kept(order, gram // SYMBOLS % SYMBOLS**order)
@@ -353,7 +584,7 @@ def window_logs(windows: DataFrame, rare: DataFrame, name: str, model: Broadcast
         for batch in batches:
             grams = batch.column(0).to_pylist()
             found = batch.column(1).to_pylist()
-            values = [predicted_log(g % SYMBOLS, contexts_of(g, c)) for g, c in zip(grams, found)]
+            values = [predicted_log(g % SYMBOLS, known_contexts(g, c)) for g, c in zip(grams, found)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(values, pa.float64())], ["gram", "log"]
             )
@@ -364,6 +595,8 @@ def window_logs(windows: DataFrame, rare: DataFrame, name: str, model: Broadcast
         windows.mapInArrow(longer, "gram bigint, order int")
         .withColumn("context", context)
         .join(rare.select("order", "context", "nexts"), ["order", "context"])
+        .select("gram", "order", "nexts")
+        .unionByName(near)
         .groupBy("gram")
         .agg(F.collect_list(F.struct("order", "nexts")).alias("found"))  # at most ORDER
     )
@@ -382,6 +615,15 @@ def score_documents(
     token is known; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    with shuffles_dropped(spark), small_batches(spark, TEXT_ROWS):
+        return _scored(docs, id_column, text_column, contexts, hot_words)
+
+
+def _scored(
+    docs: DataFrame, id_column: str, text_column: str, contexts: int, hot_words: int
+) -> DataFrame:
+    spark = docs.sparkSession
+    buckets = BUCKETS * parallelism(spark)
     narrow = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     training = narrow.where(~held_out(F.col("id"))).select("text")
     ends = training.count()
@@ -392,11 +634,21 @@ def score_documents(
     bottom = float(np.log10(total + SMOOTHING * (distinct + 1)))
     hot = words.where(F.col("c") * hot_words >= total).collect() if total else []
     hot_shared = spark.sparkContext.broadcast({bytes(row["word"]): row["c"] for row in hot})
-    table = context_table(count_grams(training))
-    symbols = table.where("order = 0").agg(F.sum("total")).first()[0] or 0
+    folder = scratch(spark, "grams")
+    grams = stage_at(count_grams(training, buckets), folder)
+    facts = grams.agg(
+        F.sum("total").alias("symbols"),
+        *[F.min(F.col("least")[i]).alias(str(NEAR + i)) for i in range(ORDER - NEAR + 1)],
+    ).first()
+    symbols = facts["symbols"] or 0
+    with small_batches(spark, BUCKET_ROWS):
+        table = context_table(grams, symbols, contexts)
     is_rare = F.col("total") * F.lit(contexts) < symbols
     rare = table.where(is_rare)
-    cut = frozenset(row["order"] for row in rare.select("order").distinct().collect())
+    cut = frozenset(
+        [row["order"] for row in rare.select("order").distinct().collect()]
+        + [k for k in range(NEAR, ORDER + 1) if symbols and facts[str(k)] * contexts < symbols]
+    )
     model = spark.sparkContext.broadcast((kept_counts(table.where(~is_rare)), cut))
     end_log = float(np.log10(ends + SMOOTHING))
     name = uuid.uuid4().hex
@@ -405,9 +657,8 @@ def score_documents(
     fields = (
         f"id {kind}, n_tokens bigint, hot_known bigint, hot_sum double, score double,"
         " tail array<struct<word:binary,n:bigint>>, row bigint,"
-        " gram bigint, held boolean, first bigint, places array<int>"
+        " flush bigint, bucket int, base bigint, grams binary, times binary, rows binary"
     )
-    marked = narrow.select("id", "text", held_out(F.col("id")).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(name, model)
@@ -415,28 +666,37 @@ def score_documents(
         logs = {word: float(np.log10(c + SMOOTHING)) for word, c in counts.items()}
         known_word = logs.get
         first, passed = TaskContext.get().partitionId() << 33, 0
-        open_grams, open_rows, held_rows, waiting = [], [], [], 0
+        flush, base = first, 0
+        open_grams, open_rows, waiting = [], [], 0
         tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         kinds = [None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type, pa.int64()]
-        kinds += [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32())]
-        names = "id n_tokens hot_known hot_sum score tail row gram held first places".split()
+        kinds += [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = "id n_tokens hot_known hot_sum score tail row".split()
+        names += "flush bucket base grams times rows".split()
 
         def of_windows() -> pa.RecordBatch:
-            """Each distinct window of the waiting places, with the rows of its places."""
-            grams, rows = np.concatenate(open_grams), np.concatenate(open_rows)
-            held = np.concatenate(held_rows)
+            """Each distinct window of the waiting places, and the rows of its places."""
+            grams, rows = np.concatenate(open_grams), np.concatenate(open_rows) - base
             by_gram = np.argsort(grams, kind="stable")
-            grams, rows, held = grams[by_gram], rows[by_gram], held[by_gram]
+            grams = grams[by_gram]
+            rows = rows[by_gram].astype(np.uint16 if passed - base <= 1 << 16 else np.int32)
             begins = np.flatnonzero(np.diff(grams, prepend=-1))
-            ends = np.append(begins, len(grams)).astype(np.int32)
-            n = len(begins)
-            columns = [pa.nulls(n, kind) for kind in kinds[:7]] + [
-                pa.array(grams[begins]),
-                pa.array(np.logical_or.reduceat(held, begins)),
-                pa.array(np.full(n, first)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.astype(np.int32))),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names)
+            grams, times = grams[begins], np.diff(np.append(begins, len(grams))).astype(np.int32)
+            parts = list(dealt(grams, buckets))
+            columns = [[], [], []]
+            for _, at in parts:
+                sizes = times[at]
+                skipped = begins[at] - (np.cumsum(sizes) - sizes)
+                each = np.repeat(skipped, sizes) + np.arange(int(sizes.sum()))
+                found = packed(grams[at]), packed(sizes), rows[each].tobytes()
+                for column, value in zip(columns, found):
+                    column.append(value)
+            n = len(parts)
+            own = [np.full(n, flush), [bucket for bucket, _ in parts], np.full(n, first + base)]
+            filled = [pa.array(values, kind) for values, kind in zip([*own, *columns], kinds[7:])]
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(n, kind) for kind in kinds[:7]] + filled, names
+            )
 
         for batch in text_slices(batches):
             kinds[0] = batch.schema.field(0).type
@@ -464,17 +724,19 @@ def score_documents(
             if len(grams):
                 open_grams.append(grams)
                 open_rows.append(rows + passed)
-                held_rows.append(np.asarray(batch.column(2))[rows])
                 waiting += len(grams)
             passed += len(texts)
             if waiting > PARTIAL_PLACES:
                 yield of_windows()
-                open_grams, open_rows, held_rows, waiting = [], [], [], 0
+                flush, base = flush + 1, passed
+                open_grams, open_rows, waiting = [], [], 0
         if waiting:
             yield of_windows()
 
-    both = stage(marked.mapInArrow(run, fields), "scored")
-    rows = both.where("row is not null").drop("gram", "held", "first", "places")
+    both = stage(narrow.mapInArrow(run, fields), "scored")
+    rows = both.where("row is not null").drop(
+        "flush", "bucket", "base", "grams", "times", "rows"
+    )
     count = F.coalesce("c", F.lit(0))
     tail = (
         rows.select("row", F.explode("tail").alias("t"))
@@ -488,28 +750,27 @@ def score_documents(
     )
     result = rows.drop("tail").join(tail, "row", "left")
     if cut:
-        given = F.when(F.size("nexts") == SYMBOLS, 0.0).otherwise(0.5)
-        learned = (
-            rare.where(F.col("order") == ORDER)
-            .select("context", "total", given.alias("given"), F.explode("nexts").alias("e"))
-            .select(
-                (F.col("context") * SYMBOLS + F.col("e.next")).alias("gram"),
-                F.log10((F.col("e.n") - F.col("given")) / F.col("total")).alias("log"),
-            )
-        )
-        windows = both.where("gram is not null").select("gram", "held", "first", "places")
-        # only texts held out have windows that were not learned
-        novel = stage(
-            windows.where("held").select("gram").distinct().join(learned, "gram", "left_anti"),
+        places = both.where("flush is not null")
+        answers = stage(
+            asked_windows(
+                places.select("flush", "bucket", "grams"), grams.select("bucket", "grams", "counts")
+            ),
             "windows",
         )
-        more = stage(window_logs(novel, rare, name, model), "windows")
-        looked_up = (
-            windows.join(learned.unionByName(more), "gram")
-            .select("first", F.explode("places").alias("place"), "log")
-            .groupBy((F.col("first") + F.col("place")).alias("row"))
-            .agg(F.sum("log").alias("rest"))
+        release(spark, folder)
+        # only texts held out have windows that were not learned
+        novel = answers.where("flush is null").select("gram", "order", "nexts")
+        near = novel.where("order is not null")
+        novel = novel.where("order is null").select("gram")
+        more = stage(window_logs(novel, near, rare, name, model), "windows")
+        single = answers.where("flush is not null and at is not null").join(more, "gram")
+        logs = (
+            answers.where("flush is not null and logs is not null")
+            .select("flush", "bucket", "logs", "at", F.lit(None).cast("double").alias("log"))
+            .unionByName(single.select("flush", "bucket", "logs", "at", "log"))
         )
+        places = places.select("flush", "bucket", "base", "times", "rows")
+        looked_up = stage(rests(places, logs), "rests")
         result = result.join(looked_up, "row", "left")
     else:
         result = result.withColumn("rest", F.lit(0.0))

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -91,6 +92,21 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH_ROWS, before)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Steps that run inside drop their shuffle files when they end, not when the driver
+    happens to collect its garbage. The session's own setting comes back."""
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def release(spark: SparkSession, folder: str) -> None:
     """Give back the space of a staged table: nothing is written over it."""
     spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(folder)
