@@ -222,8 +222,8 @@ def count_words(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def context_table(grams: DataFrame, symbols: int, contexts: int) -> DataFrame:
-    """``(order, context, total, nexts)``, a table; ``nexts`` are ``(next, n)``.
+def context_table(grams: DataFrame, symbols: int, contexts: int, folder: str) -> DataFrame:
+    """``(order, context, total, nexts)``, a table in ``folder``; ``nexts`` are ``(next, n)``.
 
     All contexts of the orders below ``NEAR``, and those of the others that the trie keeps.
     """
@@ -271,11 +271,11 @@ def context_table(grams: DataFrame, symbols: int, contexts: int) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     # at most SYMBOLS entries in each context
-    return stage(
+    return stage_at(
         rows.groupBy("order", "context").agg(
             F.sum("n").alias("total"), F.collect_list(F.struct("next", "n")).alias("nexts")
         ),
-        "contexts",
+        folder,
     )
 
 
@@ -641,8 +641,9 @@ def _scored(
         *[F.min(F.col("least")[i]).alias(str(NEAR + i)) for i in range(ORDER - NEAR + 1)],
     ).first()
     symbols = facts["symbols"] or 0
+    contexts_folder = scratch(spark, "contexts")
     with small_batches(spark, BUCKET_ROWS):
-        table = context_table(grams, symbols, contexts)
+        table = context_table(grams, symbols, contexts, contexts_folder)
     is_rare = F.col("total") * F.lit(contexts) < symbols
     rare = table.where(is_rare)
     cut = frozenset(
@@ -763,6 +764,7 @@ def _scored(
         near = novel.where("order is not null")
         novel = novel.where("order is null").select("gram")
         more = stage(window_logs(novel, near, rare, name, model), "windows")
+        release(spark, contexts_folder)
         single = answers.where("flush is not null and at is not null").join(more, "gram")
         logs = (
             answers.where("flush is not null and logs is not null")
